@@ -521,3 +521,10 @@ ORACLE_SQL = {
                strftime(tx_date, '%Y-%m-%d') date, note from ledger""",
     "evolve": _with("users") + "select user_id, username, household_id, coalesce(null, 'user') role from users",
 }
+
+
+# ---- models, text, governance, sources and sinks
+from tallyspark.plans.model_queries import MODEL_QUERIES, model_oracle_sql  # noqa: E402
+
+QUERIES.update(MODEL_QUERIES)
+ORACLE_SQL.update(model_oracle_sql(_with, LEDGER_COLS))

@@ -41,7 +41,8 @@ def _as_ledger(df: DataFrame, default_user: int | None = None) -> DataFrame:
         elif isinstance(f.dataType, T.DecimalType):
             c = F.expr(f"try_cast(trim(cast(`{f.name}` as string)) as decimal(18,2))")
         elif isinstance(f.dataType, T.LongType):
-            c = F.expr(f"try_cast(try_cast(trim(cast(`{f.name}` as string)) as double) as bigint)")
+            t = f"trim(cast(`{f.name}` as string))"
+            c = F.expr(f"coalesce(try_cast({t} as bigint), try_cast(try_cast({t} as double) as bigint))")
         elif f.name == "note":
             c = blank_to_null(c)
         else:
