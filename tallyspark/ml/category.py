@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tallyspark.operators.filters import labelled_notes
 
 TOKEN_PATTERN = r"(?U)\b\w\w+\b"
-NUM_FEATURES = 1 << 18
+NUM_FEATURES = 1 << 16
 
 
 def _featurizer() -> list:
@@ -55,7 +55,7 @@ def fit_category(df: DataFrame, max_iter: int = 1000) -> PipelineModel:
     indexer = StringIndexer(inputCol="category", outputCol="label", stringOrderType="alphabetAsc").fit(tf)
     prepared = norm.transform(weigh.transform(indexer.transform(tf)))
     lr = LogisticRegression(family="multinomial", regParam=1.0 / max(n, 1), elasticNetParam=0.0,
-                            standardization=False, maxIter=max_iter, tol=1e-6).fit(prepared)
+                            standardization=False, maxIter=max_iter, tol=1e-4).fit(prepared)
     to_label = IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels)
     tf.unpersist()
     return PipelineModel(stages=list(feats.stages) + [weigh, norm, indexer, lr, to_label])

@@ -528,3 +528,9 @@ from tallyspark.plans.model_queries import MODEL_QUERIES, model_oracle_sql  # no
 
 QUERIES.update(MODEL_QUERIES)
 ORACLE_SQL.update(model_oracle_sql(_with, LEDGER_COLS))
+
+# ---- streaming (drained sinks)
+from tallyspark.plans.stream_queries import STREAM_QUERIES, stream_oracle_sql  # noqa: E402
+
+QUERIES.update(STREAM_QUERIES)
+ORACLE_SQL.update(stream_oracle_sql(_with, ORACLE_SQL))
