@@ -19,8 +19,9 @@ forest is built and applied as Spark jobs:
    step function with at most ``300 * 255`` steps (model-sized, not data-sized).
 4. scoring (pandas UDF, Arrow batches): binary search in the broadcast step
    table; ``score = -2 ** (-E[h] / c(psi))``.  The cut is the 5th percentile
-   of the training scores (exact, linear interpolation), and rows scoring
-   below it are anomalies.
+   of the training scores (exact, linear interpolation), read from a
+   ``groupBy(score).count()`` table that is model-sized because scores take
+   at most one value per step; rows scoring below the cut are anomalies.
 """
 
 from __future__ import annotations
@@ -162,10 +163,24 @@ def fit_anomaly(df: DataFrame, id_col: str = "tx_id", value_col: str = "amount",
     levels = np.concatenate([[base], base + np.cumsum(steps["delta"].to_numpy(dtype=float))])
     model = IsolationForestModel(breaks, levels, n_trees, psi, 0.0)
     scored = x.select(model.score_column(spark, F.col(value_col)).alias("score"))
-    model.offset = float(scored.agg(F.percentile("score", contamination)).first()[0])
+    # scores take at most len(breaks) + 1 values: count per value, then the exact
+    # linearly interpolated percentile from the (model-sized) count table
+    counts = scored.groupBy("score").count().toPandas().sort_values("score")
+    model.offset = exact_percentile(counts["score"].to_numpy(), counts["count"].to_numpy(), contamination)
     return model
 
 
+def exact_percentile(values: np.ndarray, counts: np.ndarray, q: float) -> float:
+    """Percentile with linear interpolation (numpy's default) of a sorted value/count table."""
+    n = int(counts.sum())
+    pos = q * (n - 1)
+    lo, hi = int(math.floor(pos)), int(math.ceil(pos))
+    cum = np.cumsum(counts)
+    v_lo = float(values[np.searchsorted(cum, lo + 1)])
+    v_hi = float(values[np.searchsorted(cum, hi + 1)])
+    return v_lo + (v_hi - v_lo) * (pos - lo)
+
+
 def score_anomalies(model: IsolationForestModel, df: DataFrame, value_col: str = "amount") -> DataFrame:
     """Expense rows with their ``score`` and ``anomaly`` flag."""
     spark = df.sparkSession

@@ -64,40 +64,50 @@ def time_range(df: DataFrame, r: str | None, as_of: _dt.date) -> DataFrame:
     if r is None or r == "all":
         return df
     if r in RANGE_DAYS:
-        return df.filter(F.col("tx_date") >= F.date_sub(a, RANGE_DAYS[r]))
+        return _between(df, F.date_sub(a, RANGE_DAYS[r]), None)
     if r == "this_year":
-        return df.filter((F.col("tx_date") >= F.trunc(a, "year"))
-                         & (F.col("tx_date") < F.add_months(F.trunc(a, "year"), 12)))
+        return _between(df, F.trunc(a, "year"), F.add_months(F.trunc(a, "year"), 12))
     raise ValueError(f"unknown time range {r!r}")
 
 
+def _between(df: DataFrame, lo: Column, hi: Column | None) -> DataFrame:
+    """``lo <= tx_date < hi``; on a stored ledger also a ``tx_month`` bound (partition pruning)."""
+    cond = F.col("tx_date") >= lo
+    if hi is not None:
+        cond = cond & (F.col("tx_date") < hi)
+    if "tx_month" in df.columns:
+        cond = cond & (F.col("tx_month") >= month_label(lo))
+        if hi is not None:
+            cond = cond & (F.col("tx_month") <= month_label(F.date_sub(hi, 1)))
+    return df.filter(cond)
+
+
 def _norm_period(p: str) -> str:
     return p.strip().lower().replace(" ", "_")
 
 
 def period_predicate(p: str, as_of: _dt.date) -> Column:
     """Predicate for a named period; labels like ``This Month`` are normalised."""
+    lo, hi = period_bounds(p, as_of)
+    d = F.col("tx_date")
+    return (d >= lo) & (d < hi)
+
+
+def period_bounds(p: str, as_of: _dt.date) -> tuple[Column, Column]:
     p = _norm_period(p)
     a = F.lit(as_of)
-    m0 = month_start(a)
-    y0 = F.trunc(a, "year")
-    d = F.col("tx_date")
-    if p == "this_month":
-        lo, hi = m0, F.add_months(m0, 1)
-    elif p == "last_month":
-        lo, hi = F.add_months(m0, -1), m0
-    elif p == "this_year":
-        lo, hi = y0, F.add_months(y0, 12)
-    elif p == "last_year":
-        lo, hi = F.add_months(y0, -12), y0
-    else:
+    m0, y0 = month_start(a), F.trunc(a, "year")
+    bounds = {"this_month": (m0, F.add_months(m0, 1)), "last_month": (F.add_months(m0, -1), m0),
+              "this_year": (y0, F.add_months(y0, 12)), "last_year": (F.add_months(y0, -12), y0)}
+    if p not in bounds:
         raise ValueError(f"unknown period {p!r}")
-    return (d >= lo) & (d < hi)
+    return bounds[p]
 
 
 def period(df: DataFrame, p: str, as_of: _dt.date) -> DataFrame:
     """Rows of this/last month (January wraps) or this/last year."""
-    return df.filter(period_predicate(p, as_of))
+    lo, hi = period_bounds(p, as_of)
+    return _between(df, lo, hi)
 
 
 def multi_filter(df: DataFrame, categories: Sequence[str] | None = None,

@@ -34,6 +34,15 @@ def enrich(ledger: DataFrame, users: DataFrame, households: DataFrame) -> DataFr
     return ledger.join(small_side(uh), "user_id", "inner")
 
 
+def ledger_for_users(ledger: DataFrame, users: DataFrame) -> DataFrame:
+    """A2: the ledger scoped to some users, in ledger order (date, id).
+
+    A left-semi join; on a stored ledger sorted by user inside its files the
+    user filter also skips row groups.
+    """
+    return ledger.join(users.select("user_id"), "user_id", "left_semi").orderBy("user_id", "tx_date", "tx_id")
+
+
 def active_users(users: DataFrame, ledger: DataFrame, n: int = 50) -> DataFrame:
     """Users owning at least one of the ``n`` latest ledger rows."""
     latest = ledger.orderBy(F.col("tx_date").desc(), F.col("tx_id").desc()).limit(n)

@@ -34,7 +34,8 @@ PROMOTED_USERS = ["Customer#000000001", "Customer#000000002", "Customer#00000010
 
 
 def _L(spark, d):
-    return ledger(spark, d)
+    """The stored ledger with its ``tx_month`` partition column (dropped again by ``run``)."""
+    return ledger(spark, d, with_month=True)
 
 
 def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +101,7 @@ QUERIES = {
     "categories": lambda s, d: C.categories(_L(s, d)),
     "system_overview": lambda s, d: C.system_overview(users(s, d), households(s, d), _L(s, d)),
     "mean_amount": lambda s, d: C.mean_amount(_L(s, d)),
-    "null_audit": lambda s, d: C.null_audit(_L(s, d)),
+    "null_audit": lambda s, d: C.null_audit(ledger(s, d)),
     "savings_stats": lambda s, d: C.savings_stats(_L(s, d)),
     "goal_progress": lambda s, d: C.goal_progress(_L(s, d)),
     "whole_ledger_summary": lambda s, d: C.summary_stats(_L(s, d), by=[]),
@@ -132,6 +133,12 @@ QUERIES = {
                                                         ERASED_HOUSEHOLDS)[0],
     "uniqueness_violations": lambda s, d: D.uniqueness_violations(users(s, d), "username"),
     "orphans": lambda s, d: D.orphans(_L(s, d), users(s, d), "user_id"),
+    "orphan_users": lambda s, d: D.orphans(users(s, d), households(s, d), "household_id"),
+    "erase_users": lambda s, d: D.erase_users(_L(s, d), users(s, d), PROMOTED_USERS)[0],
+    "ledger_for_users": lambda s, d: D.ledger_for_users(
+        _L(s, d), users(s, d).filter(F.col("household_id") == 1)),
+    "users": lambda s, d: users(s, d),
+    "households": lambda s, d: households(s, d),
     # --- B: filters and validation ---
     "of_type": lambda s, d: B.of_type(_L(s, d), "expense"),
     "validate": _validated,
@@ -154,7 +161,7 @@ QUERIES = {
     # --- I: quality ---
     "imbalance": lambda s, d: Q.imbalance(_L(s, d)),
     "underrepresented": lambda s, d: Q.underrepresented(_L(s, d)),
-    "missing_verdict": lambda s, d: Q.missing_verdict(_L(s, d)),
+    "missing_verdict": lambda s, d: Q.missing_verdict(ledger(s, d)),
     "audit_summary": lambda s, d: Q.audit_summary(audit_events(s, d)),
     # --- H14 / A ---
     "insight_list": lambda s, d: R.insight_list(_L(s, d)),
@@ -165,7 +172,11 @@ QUERIES = {
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return present(QUERIES[name](spark, sf_dir))
+    df = QUERIES[name](spark, sf_dir)
+    return present(df.drop("tx_month") if name not in KEEP_MONTH else df)
+
+
+KEEP_MONTH: set[str] = set()
 
 
 # ---------------------------------------------------------------- oracle SQL
@@ -425,6 +436,16 @@ ORACLE_SQL = {
         select {LEDGER_COLS} from ledger where user_id not in (select user_id from users where household_id in
           (select household_id from households where name in ('NATION_3', 'NATION_7')))""",
     "uniqueness_violations": _with("users") + "select username, count(*) n from users group by 1 having count(*) > 1",
+    "orphan_users": _with("users", "households") + """
+        select * from users u where household_id is not null
+          and not exists (select 1 from households h where h.household_id = u.household_id)""",
+    "erase_users": _with("ledger", "users") + f"""
+        select {LEDGER_COLS} from ledger where user_id not in (select user_id from users where username in
+          ('Customer#000000001', 'Customer#000000002', 'Customer#000000100'))""",
+    "ledger_for_users": _with("ledger", "users") + f"""
+        select {LEDGER_COLS} from ledger where user_id in (select user_id from users where household_id = 1)""",
+    "users": _with("users") + "select * from users",
+    "households": _with("households") + "select * from households",
     "orphans": _with("ledger", "users") + f"""
         select {LEDGER_COLS} from ledger l where not exists (select 1 from users u where u.user_id = l.user_id)""",
     # ---- filters

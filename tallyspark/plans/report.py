@@ -1,22 +1,23 @@
 """Per-key reports composed from the operators.
 
-The rollups they share are built once; ``insight_report`` caches the monthly
-rollup so the summary, trend, forecast and savings parts read it instead of
-rescanning the ledger (the reference reads the whole ledger ten times per
-page view).
+The rollups they share are built once; ``insight_report`` keeps one daily
+rollup so the summary, shares, trend, forecast, goal and alert parts read it
+instead of rescanning the ledger (the reference reads the whole ledger ten
+times per page view).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.columns import keys
 from tallyspark.operators.ordered import forecast_next, trend, weekly_alert
-from tallyspark.operators.quality import underrepresented
 from tallyspark.operators.rollups import goal_progress, summary_stats
+from tallyspark.schema import UNDERREPRESENTED_SHARE
 
 # ---- Fixed message texts (must read as the reference's) ----
 MSG_OVERSPENT = "⚠ You spent more than you earned."
@@ -62,10 +63,18 @@ def insight_report(df: DataFrame, by: Sequence[str] | None = None,
     k = keys(by)
     if not k:
         df, k = df.withColumn("_all", F.lit(0)), ["_all"]
-    base = df.select(*k, "tx_id", "t_type", "category", "amount", "tx_date").cache()
+    # one shared daily rollup (key, date, type, category): every part below is a
+    # sum over it, so the ledger is scanned once and what is kept is rollup-sized
+    base = (df.groupBy(*k, "tx_date", "t_type", "category")
+            .agg(F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("n"))
+            .persist(StorageLevel.MEMORY_AND_DISK))
     s = summary_stats(base, k)
+    shares = (base.filter(F.col("category").isNotNull()).groupBy(*k, "category").agg(F.sum("n").alias("n"))
+              .withColumn("share", F.col("n").cast("double")
+                          / F.sum("n").over(Window.partitionBy(*k)).cast("double"))
+              .groupBy(*k).agg((F.min("share") < F.lit(UNDERREPRESENTED_SHARE)).alias("underrepresented")))
     parts = [
-        underrepresented(base, k).select(*k, "underrepresented"),
+        shares,
         trend(base, k).select(*k, "trend", trend_message().alias("trend_message")),
         forecast_next(base, k).select(*k, F.col("last_total").alias("last_month_total"), "forecast_next_month"),
         goal_progress(base, k).select(*k, "progress_pct", "progress"),

@@ -124,6 +124,20 @@ def append_ledger(df: DataFrame, path: str) -> None:
        .write.mode("append").partitionBy("tx_month").parquet(path))
 
 
+def store_ledger(df: DataFrame, path: str) -> None:
+    """Write the ledger as a fact table partitioned by ``tx_month``.
+
+    ``rebalance(tx_month)`` lets AQE size the write tasks (a large month is
+    split, small ones are combined), and rows are sorted by user and date
+    inside each file so parquet statistics skip row groups for user- or
+    date-scoped reads.
+    """
+    (df.withColumn("tx_month", month_label("tx_date"))
+       .hint("rebalance", "tx_month")
+       .sortWithinPartitions("tx_month", "user_id", "tx_date")
+       .write.mode("overwrite").partitionBy("tx_month").parquet(path))
+
+
 def read_ledger_parquet(spark: SparkSession, path: str) -> DataFrame:
     """The stored ledger; filters on ``tx_month`` prune partitions."""
     return spark.read.parquet(path)

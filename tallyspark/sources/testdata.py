@@ -9,18 +9,22 @@ see bit-equal rows.
 
 from __future__ import annotations
 
+import hashlib
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.schema import MONEY
+from tallyspark.session import checkpoint_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fact table: one row per order (income) and per line item (expense).
+def ledger_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact table as a view: one row per order (income) and per line item (expense).
 
     lineitem x orders is a key/foreign-key join on the order key and
     lineitem x part one on the part key; both are left to the planner
@@ -58,6 +62,46 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return income.unionByName(expense)
 
 
+LEDGER_COLUMNS = ["tx_id", "user_id", "t_type", "category", "amount", "tx_date", "note"]
+_SOURCES = ("orders", "lineitem", "part")
+LEDGER_FORMAT = 1  # bump when the ledger definition changes: stored copies are keyed by it
+
+
+def _source_key(sf_dir: str) -> str:
+    """Identity of the source tables: path plus size and mtime of each local file."""
+    parts = [sf_dir, f"v{LEDGER_FORMAT}"]
+    for t in _SOURCES:
+        try:
+            st = os.stat(f"{sf_dir}/{t}.parquet")
+            parts.append(f"{t}:{st.st_size}:{st.st_mtime_ns}")
+        except OSError:
+            parts.append(t)
+    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
+
+
+def stored_ledger_path(spark: SparkSession, sf_dir: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/tally-ledger-{_source_key(sf_dir)}"
+
+
+def ledger(spark: SparkSession, sf_dir: str, with_month: bool = False) -> DataFrame:
+    """The stored ledger: built once from ``ledger_view`` into the shared folder, then read.
+
+    The three-way join runs once; every operator after it scans one narrow
+    table, partitioned by ``tx_month`` and sorted by user and date inside the
+    files, so date filters prune partitions/row groups.  ``with_month`` keeps
+    the partition column for callers that filter on it.
+    """
+    from pyspark.errors import AnalysisException
+    from tallyspark.sources.files import read_ledger_parquet, store_ledger
+    path = stored_ledger_path(spark, sf_dir)
+    try:
+        df = read_ledger_parquet(spark, path)
+    except AnalysisException:
+        store_ledger(ledger_view(spark, sf_dir), path)
+        df = read_ledger_parquet(spark, path)
+    return df if with_month else df.select(*LEDGER_COLUMNS)
+
+
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users from customers; every hundredth customer is an admin."""
     return table(spark, sf_dir, "customer").select(

@@ -112,3 +112,13 @@ def test_budget_clusters_and_advice(make_ledger):
     few = make_ledger([("x", 2, "expense", "Food", 3, "2024-01-01")])
     adv2 = collect(Bu.budget_advice(m, few))[0]
     assert adv2["recommendations"][-1] == "Your average transaction so far is $3.00."
+
+
+def test_exact_percentile_matches_numpy():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        vals = np.sort(rng.choice(50, size=rng.integers(1, 20), replace=False).astype(float))
+        cnts = rng.integers(1, 9, size=len(vals))
+        full = np.repeat(vals, cnts)
+        for q in (0.0, 0.05, 0.5, 0.97, 1.0):
+            assert abs(A.exact_percentile(vals, cnts, q) - np.percentile(full, 100 * q)) < 1e-9
