@@ -108,16 +108,6 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> bool:
     return True
 
 
-def json_records(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """A6 (array form): one JSON array of records per key.
-
-    Meant for per-user downloads; the key must be bounded (a user's ledger),
-    never the whole table.
-    """
-    rest = [c for c in df.columns if c not in by]
-    return df.groupBy(*by).agg(F.to_json(F.collect_list(F.struct(*rest))).alias("records"))
-
-
 def append_ledger(df: DataFrame, path: str) -> None:
     """Append rows to the parquet ledger partitioned by ``tx_month``."""
     (df.withColumn("tx_month", month_label("tx_date"))

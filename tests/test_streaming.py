@@ -102,3 +102,19 @@ def test_restart_resumes_from_checkpoint(spark, make_ledger):
     got = sorted((r["user_id"], r["week"], r["total"]) for r in collect(J.read_latest(spark, out, ["user_id", "week"])))
     want = sorted((r["user_id"], r["week"], r["total"]) for r in collect(C.weekly_total(L)))
     assert got == want
+
+
+def test_dedupe_writer_removes_hot_copies_and_stored_repeats(spark, make_ledger):
+    L = _weeks(make_ledger)
+    src, ck, out = _dirs(spark)
+    hot = L.limit(1)
+    L.write.parquet(src)
+    for i in range(3):   # a copy group much larger than anything else, over several batches
+        hot.select("*", F.explode(F.sequence(F.lit(1), F.lit(300))).alias("_c")).drop("_c") \
+            .withColumn("tx_id", F.concat(F.lit(f"H{i}-"), F.monotonically_increasing_id().cast("string"))) \
+            .write.mode("append").parquet(src)
+    sdf = J.read_ledger_stream(spark, src, LEDGER_SCHEMA, max_files_per_trigger=2)
+    J.run_available(sdf, ck, J.dedupe_writer(out))
+    got = spark.read.parquet(out)
+    assert got.count() == L.dropDuplicates(J.DUP_COLS).count()
+    assert got.select(*J.DUP_COLS).distinct().count() == got.count()
