@@ -162,7 +162,9 @@ def project(df: DataFrame, by: Sequence[str] | None = None, periods: int = 6) ->
     """H2: history plus ``periods`` projected months of income and expense.
 
     Each type is fitted over the key's zero-filled month x type matrix; a type
-    is projected only when the key has more than one month.
+    is projected only when the key has more than one month.  History and fit
+    come from one window pass over the (key, type, month) rows, so both
+    branches of the union share its exchange.
     """
     k = keys(by)
     m = monthly_in_out(df, by)
@@ -171,14 +173,18 @@ def project(df: DataFrame, by: Sequence[str] | None = None, periods: int = 6) ->
         F.struct(F.lit(EXPENSE).alias("t_type"), F.col(EXPENSE).alias("v")))).alias("p")
     ).select(*k, "month", "p.t_type", "p.v")
     kt = k + ["t_type"]
-    hist = long.select(*kt, "month", F.col("v").cast("double").alias("value"),
-                       F.lit(False).alias("is_forecast"))
-    fit = _fit(long, kt, "v").filter(F.col("n") > 1)
+    s = (long.withColumn("x", (F.row_number().over(_w(kt).orderBy("month")) - 1).cast("bigint"))
+         .withColumn("n_all", F.count(F.lit(1)).over(_w(kt)))
+         .filter(F.col("n_all") > 1)
+         .withColumn("y", cents("v")))
+    hist = s.select(*kt, "month", F.col("v").cast("double").alias("value"), F.lit(False).alias("is_forecast"))
+    fit = s.groupBy(*kt).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"),
+        F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"), F.max("month").alias("last_month"))
     fut = (fit.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(periods))))
            .select(*kt,
                    F.date_format(F.add_months(F.to_date(F.concat(F.col("last_month"), F.lit("-01"))), F.col("j")),
                                  "yyyy-MM").alias("month"),
                    _predict(F.col("n") + F.col("j") - 1).alias("value"),
                    F.lit(True).alias("is_forecast")))
-    hist = hist.join(fit.select(*kt), on=kt, how="left_semi")
     return hist.unionByName(fut)

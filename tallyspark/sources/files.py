@@ -129,7 +129,11 @@ def store_ledger(df: DataFrame, path: str) -> None:
 
 
 def read_ledger_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """The stored ledger; filters on ``tx_month`` prune partitions."""
+    """The stored ledger; filters on ``tx_month`` prune partitions.
+
+    The schema is read from the files: a folder without committed data files
+    (a build that never finished) fails here instead of reading as empty.
+    """
     return spark.read.parquet(path)
 
 

@@ -19,8 +19,30 @@ from tallyspark.schema import MONEY
 from tallyspark.session import checkpoint_dir
 
 
+# DataFrames over immutable inputs, per session: the file listing and footer
+# read happen once, not once per query.  Keys include size and mtime.
+_FRAMES: dict[tuple, DataFrame] = {}
+
+
+def _file_id(path: str) -> str:
+    try:
+        st = os.stat(path)
+        return f"{st.st_size}:{st.st_mtime_ns}"
+    except OSError:
+        return ""
+
+
+def _remember(spark: SparkSession, key: tuple, make) -> DataFrame:
+    k = (id(spark), spark.sparkContext.applicationId) + key
+    df = _FRAMES.get(k)
+    if df is None:
+        df = _FRAMES[k] = make()
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return _remember(spark, ("table", path, _file_id(path)), lambda: spark.read.parquet(path))
 
 
 def ledger_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,13 +91,7 @@ LEDGER_FORMAT = 1  # bump when the ledger definition changes: stored copies are
 
 def _source_key(sf_dir: str) -> str:
     """Identity of the source tables: path plus size and mtime of each local file."""
-    parts = [sf_dir, f"v{LEDGER_FORMAT}"]
-    for t in _SOURCES:
-        try:
-            st = os.stat(f"{sf_dir}/{t}.parquet")
-            parts.append(f"{t}:{st.st_size}:{st.st_mtime_ns}")
-        except OSError:
-            parts.append(t)
+    parts = [sf_dir, f"v{LEDGER_FORMAT}"] + [f"{t}:{_file_id(f'{sf_dir}/{t}.parquet')}" for t in _SOURCES]
     return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
 
@@ -94,11 +110,15 @@ def ledger(spark: SparkSession, sf_dir: str, with_month: bool = False) -> DataFr
     from pyspark.errors import AnalysisException
     from tallyspark.sources.files import read_ledger_parquet, store_ledger
     path = stored_ledger_path(spark, sf_dir)
-    try:
-        df = read_ledger_parquet(spark, path)
-    except AnalysisException:
-        store_ledger(ledger_view(spark, sf_dir), path)
-        df = read_ledger_parquet(spark, path)
+
+    def load() -> DataFrame:
+        try:
+            return read_ledger_parquet(spark, path)
+        except AnalysisException:
+            store_ledger(ledger_view(spark, sf_dir), path)
+            return read_ledger_parquet(spark, path)
+
+    df = _remember(spark, ("ledger", path), load)
     return df if with_month else df.select(*LEDGER_COLUMNS)
 
 

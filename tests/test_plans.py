@@ -28,10 +28,15 @@ def test_no_python_in_sql_operators(spark, name):
 
 
 def test_filters_and_projection_reach_the_scan(spark):
-    L = ledger(spark, SF_SMALL)
-    p = plan(B.time_range(L, "last_3_months", dt.date(2001, 8, 1)).select("user_id", "amount"))
-    assert "PushedFilters: [IsNotNull(o_orderdate)" in p or "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual" in p
-    assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_extendedprice:double,l_shipdate" in p
+    from tallyspark.sources.testdata import ledger_view
+    v = plan(ledger_view(spark, SF_SMALL).filter("tx_date >= date'2001-05-03'").select("user_id", "amount"))
+    assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_extendedprice:double,l_shipdate" in v
+    assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in v
+    stored = ledger(spark, SF_SMALL, with_month=True)
+    p = plan(B.time_range(stored, "last_3_months", dt.date(2001, 8, 1)).select("user_id", "amount"))
+    assert "PartitionFilters: [isnotnull(tx_month" in p and "(tx_month" in p
+    assert "PushedFilters: [IsNotNull(tx_date), GreaterThanOrEqual(tx_date,2001-05-03)]" in p
+    assert "ReadSchema: struct<user_id:bigint,amount:decimal(18,2),tx_date:date>" in p
 
 
 def test_recent_uses_partial_window_group_limit(spark):
