@@ -268,4 +268,14 @@ def model_oracle_sql(with_, ledger_cols: str) -> dict[str, str]:
                             from events""",
         "encryption_roundtrip": with_("ledger") + "select tx_id, note, cast(amount as varchar) amount from ledger",
         "sensitive_columns": "select 'username' as columns, true as flagged",
+        "masked": with_("ledger") + """
+            select tx_id, regexp_replace(regexp_replace(regexp_replace(note, '[A-Z]', 'X', 'g'),
+                                                        '[a-z]', 'x', 'g'), '[0-9]', 'n', 'g') note
+            from ledger where note is not null""",
+        # expense notes are encrypted, income rows carry their (plain) category: the share that
+        # decrypts is the expense share of each user's rows
+        "encryption_coverage": with_("ledger") + """
+            select user_id, avg(case when t_type = 'expense' then 1.0 else 0.0 end) encrypted_share, count(*) n
+            from ledger where (case when t_type = 'expense' then note else category end) is not null
+            group by user_id""",
     }
