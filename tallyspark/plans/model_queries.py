@@ -40,31 +40,49 @@ def _split(spark, d):
     return L.filter(F.col("tx_date") < F.lit(AS_OF).cast("date")), L.filter(F.col("tx_date") >= F.lit(AS_OF).cast("date"))
 
 
+_MODELS: dict[tuple, object] = {}
+
+
+def _fitted(spark: SparkSession, d: str, kind: str, part: str):
+    """A model fitted once per session, data folder and training part (``train`` or ``all``).
+
+    Fitted models are small driver-side objects; several registered queries
+    apply the same model, as the reference keeps one loaded model per agent.
+    """
+    key = (id(spark), spark.sparkContext.applicationId, d, kind, part)
+    if key not in _MODELS:
+        data = _split(spark, d)[0] if part == "train" else ledger(spark, d)
+        fit = {"category": H8.fit_category, "anomaly": H5.fit_anomaly,
+               "budget": lambda df: H10.fit_budget(df, EXPENSE_CATS), "expense": H3.fit_expense}[kind]
+        _MODELS[key] = fit(data)
+    return _MODELS[key]
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/tally-{name}-{uuid.uuid4().hex[:12]}"
 
 
 # ---- text models
 def q_predict_category(spark, d):
-    train, test = _split(spark, d)
-    m = H8.fit_category(train)
+    _, test = _split(spark, d)
+    m = _fitted(spark, d, "category", "train")
     return H8.predict_category(m, test.filter(F.col("t_type") == "expense")).select(
         "tx_id", "user_id", "category", "predicted")
 
 
 def q_evaluate_category(spark, d):
-    train, test = _split(spark, d)
-    return H8.evaluate_category(H8.fit_category(train), test)
+    _, test = _split(spark, d)
+    return H8.evaluate_category(_fitted(spark, d, "category", "train"), test)
 
 
 def q_suggest_categories(spark, d):
-    train, test = _split(spark, d)
-    return H8.suggest_categories(H8.fit_category(train), test.filter(F.col("t_type") == "expense"))
+    _, test = _split(spark, d)
+    return H8.suggest_categories(_fitted(spark, d, "category", "train"), test.filter(F.col("t_type") == "expense"))
 
 
 def q_resolve_category(spark, d):
-    train, test = _split(spark, d)
-    m = H8.fit_category(train)
+    _, test = _split(spark, d)
+    m = _fitted(spark, d, "category", "train")
     blanked = test.withColumn("category", F.when(F.col("t_type") == "expense", F.lit(" "))
                               .otherwise(F.col("category")))
     return H8.resolve_with_model(m, blanked)
@@ -80,33 +98,33 @@ def q_document_language(spark, d):
 
 # ---- expense forest
 def q_predict_expense(spark, d):
-    train, test = _split(spark, d)
-    m = H3.fit_expense(train)
+    _, test = _split(spark, d)
+    m = _fitted(spark, d, "expense", "train")
     return H3.predict_expense(m, H3.expense_rows(test)).select("year", "month", "label", "prediction")
 
 
 def q_evaluate_expense(spark, d):
-    train, test = _split(spark, d)
-    return H3.evaluate_expense(H3.fit_expense(train), test)
+    _, test = _split(spark, d)
+    return H3.evaluate_expense(_fitted(spark, d, "expense", "train"), test)
 
 
 # ---- anomalies
 def q_detect_anomalies(spark, d):
-    train, test = _split(spark, d)
-    m = H5.fit_anomaly(train)
+    _, test = _split(spark, d)
+    m = _fitted(spark, d, "anomaly", "train")
     return H5.detect_anomalies(m, test).select("tx_id", "user_id", "tx_date", "category", "amount", "score")
 
 
 def q_anomaly_messages(spark, d):
     L = ledger(spark, d)
-    m = H5.fit_anomaly(L)
+    m = _fitted(spark, d, "anomaly", "all")
     return H5.anomaly_messages(H5.detect_anomalies(m, L))
 
 
 def q_model_roundtrip(spark, d):
     """A fitted forest saved to and loaded from the shared folder flags the same rows."""
     L = ledger(spark, d)
-    m = H5.fit_anomaly(L)
+    m = _fitted(spark, d, "anomaly", "all")
     path = _scratch(spark, "iforest")
     m.save(spark, path)
     m2 = H5.IsolationForestModel.load(spark, path)
@@ -116,22 +134,21 @@ def q_model_roundtrip(spark, d):
 # ---- budget
 def q_budget_clusters(spark, d):
     train, _ = _split(spark, d)
-    m = H10.fit_budget(train, EXPENSE_CATS)
+    m = _fitted(spark, d, "budget", "train")
     from tallyspark.operators.rollups import category_matrix
     return H10.assign_clusters(m, category_matrix(train, EXPENSE_CATS, by=[])).select("month", "cluster", "advice")
 
 
 def q_budget_advice(spark, d):
-    train, _ = _split(spark, d)
-    m = H10.fit_budget(train, EXPENSE_CATS)
+    m = _fitted(spark, d, "budget", "train")
     return H10.budget_advice(m, ledger(spark, d)).withColumn("recommendations",
                                                              F.array_join("recommendations", " | "))
 
 
 def q_insight_report(spark, d):
     L = ledger(spark, d)
-    an = H5.detect_anomalies(H5.fit_anomaly(L), L)
-    adv = H10.budget_advice(H10.fit_budget(L, EXPENSE_CATS), L).select(
+    an = H5.detect_anomalies(_fitted(spark, d, "anomaly", "all"), L)
+    adv = H10.budget_advice(_fitted(spark, d, "budget", "all"), L).select(
         "user_id", F.array_join("recommendations", " | ").alias("advice"))
     return insight_report(L, anomalies=an, advice=adv)
 

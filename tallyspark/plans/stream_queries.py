@@ -73,10 +73,10 @@ def q_stream_alerts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_stream_categorise(spark: SparkSession, d: str) -> DataFrame:
-    from tallyspark.ml.category import fit_category
+    from tallyspark.plans.model_queries import _fitted
     src, ck, out = _dirs(spark, "categorise")
     L = ledger(spark, d)
-    model = fit_category(L.filter(F.col("tx_date") < F.lit(AS_OF).cast("date")))
+    model = _fitted(spark, d, "category", "train")
     L.filter(F.col("tx_date") >= F.lit(AS_OF).cast("date")) \
         .withColumn("category", F.when(F.col("t_type") == "expense", F.lit(" ")).otherwise(F.col("category"))) \
         .write.parquet(src)
@@ -86,10 +86,10 @@ def q_stream_categorise(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_stream_flag(spark: SparkSession, d: str) -> DataFrame:
-    from tallyspark.ml.anomaly import fit_anomaly
+    from tallyspark.plans.model_queries import _fitted
     src, ck, out = _dirs(spark, "flag")
     L = ledger(spark, d)
-    model = fit_anomaly(L.filter(F.col("tx_date") < F.lit(AS_OF).cast("date")))
+    model = _fitted(spark, d, "anomaly", "train")
     L.filter(F.col("tx_date") >= F.lit(AS_OF).cast("date")).write.parquet(src)
     sdf = J.stream_flag(J.read_ledger_stream(spark, src, LEDGER_SCHEMA), model)
     J.run_available(sdf, ck, J.write_batches(out))

@@ -17,6 +17,8 @@ replaces its own output (exactly-once together with the checkpoint).
 * J6 ``stream_alerts``     per-user running balance and weekly alert kept in
   state (``applyInPandasWithState``); weeks older than the watermark are
   folded into a sum and a count, so state per user stays a few numbers.
+  Rows whose week closed before the current watermark are dropped (Spark's
+  own operators, J5, use the previous batch's watermark: one batch later).
 """
 
 from __future__ import annotations
@@ -188,7 +190,10 @@ def _alerts_fn(factor: float):
             weeks = {int(k): int(v) for k, v in json.loads(weeks_js).items()}
         else:
             bal, fsum, fcnt, weeks = 0, 0, 0, {}
+        wm = state.getCurrentWatermarkMs()
         for pdf in batches:
+            if wm and wm > 0:   # late rows: their week closed before the watermark (J5 drops them too)
+                pdf = pdf[pdf["week_day"] * DAY_MS + WEEK_MS > wm]
             cents = pdf["cents"].astype("int64")
             sign = pdf["t_type"].map({INCOME: 1, EXPENSE: -1}).fillna(0).astype("int64")
             bal += int((cents * sign).sum())
@@ -196,7 +201,6 @@ def _alerts_fn(factor: float):
             for w, c in wk.items():
                 weeks[int(w)] = weeks.get(int(w), 0) + int(c)
         # fold weeks that closed before the watermark, keeping the newest week open
-        wm = state.getCurrentWatermarkMs()
         if weeks and wm and wm > 0:
             newest = max(weeks)
             for w in [w for w in weeks if w != newest and (w * DAY_MS + WEEK_MS) <= wm]:

@@ -118,3 +118,32 @@ def test_dedupe_writer_removes_hot_copies_and_stored_repeats(spark, make_ledger)
     got = spark.read.parquet(out)
     assert got.count() == L.dropDuplicates(J.DUP_COLS).count()
     assert got.select(*J.DUP_COLS).distinct().count() == got.count()
+
+
+def test_late_rows_beyond_the_watermark_are_dropped(spark, make_ledger):
+    # Spark drops a row as late once the watermark of the *previous* batch has passed its window,
+    # so the late row arrives two batches after the data that moved the watermark.
+    early = make_ledger([(f"a{d}", 1, "expense", "A", 10, f"2024-01-{d:02d}") for d in range(1, 29)])
+    more = make_ledger([("ok", 1, "expense", "A", 5, "2024-01-27"),          # within the limit
+                        ("new", 1, "expense", "A", 7, "2024-02-05")])
+    late = make_ledger([("late", 1, "expense", "A", 999, "2024-01-02")])     # its week closed long ago
+    kept = early.unionByName(more)
+
+    def stage():
+        src, ck, out = _dirs(spark)
+        for part in (early, more, late):
+            part.coalesce(1).write.mode("append").parquet(src)
+        return J.read_ledger_stream(spark, src, LEDGER_SCHEMA, max_files_per_trigger=1), ck, out
+
+    sdf, ck, out = stage()
+    J.run_available(J.stream_weekly(sdf, delay="8 days"), ck, J.write_batches(out), output_mode="update")
+    got = sorted((r["week"], r["total"]) for r in collect(J.read_latest(spark, out, ["user_id", "week"])))
+    want = sorted((r["week"], r["total"]) for r in collect(C.weekly_total(kept)))
+    assert got == want
+    sdf, ck, out = stage()
+    J.run_available(J.stream_alerts(sdf, delay="8 days"), ck, J.write_batches(out), output_mode="update")
+    a = collect(J.read_latest(spark, out, ["user_id"]))[0]
+    w = collect(E.weekly_alert(kept))[0]
+    assert a["n_weeks"] == w["n_weeks"] and a["mean_prev"] == w["mean_prev"]
+    assert a["last_total"] == float(w["last_total"])
+    assert a["balance"] == -float(collect(kept.agg(F.sum("amount").alias("s")))[0]["s"])
