@@ -56,6 +56,20 @@ def q_stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out).select(*DUP_COLS)
 
 
+def q_stream_dedupe_sink(spark: SparkSession, d: str) -> DataFrame:
+    """J2 at the sink (``dedupe_writer``): repeats removed with map-side combining per batch."""
+    src, ck, out = _dirs(spark, "dedupe-sink")
+    L = ledger(spark, d)
+    again = B.time_range(L, "last_3_months", F.lit(AS_OF).cast("date")) \
+        .withColumn("tx_id", F.concat(F.lit("R-"), F.col("tx_id")))
+    L.write.parquet(src)
+    n_first = len(spark.read.parquet(src).inputFiles())   # the repeats arrive in a later batch
+    again.write.mode("append").parquet(src)
+    sdf = J.read_ledger_stream(spark, src, LEDGER_SCHEMA, max_files_per_trigger=n_first)
+    J.run_available(sdf.drop("event_ts"), ck, J.dedupe_writer(out, delay_days=120))
+    return spark.read.parquet(out).select(*DUP_COLS)
+
+
 def q_stream_weekly(spark: SparkSession, d: str) -> DataFrame:
     src, ck, out = _dirs(spark, "weekly")
     _stage_ledger(spark, d, src)
@@ -99,6 +113,7 @@ def q_stream_flag(spark: SparkSession, d: str) -> DataFrame:
 STREAM_QUERIES = {
     "stream_validate": q_stream_validate,
     "stream_dedupe": q_stream_dedupe,
+    "stream_dedupe_sink": q_stream_dedupe_sink,
     "stream_weekly": q_stream_weekly,
     "stream_alerts": q_stream_alerts,
     "stream_categorise": q_stream_categorise,
@@ -125,6 +140,9 @@ def stream_oracle_sql(with_, oracle: dict[str, str]) -> dict[str, str]:
         "stream_dedupe": with_("ledger") + """
             select distinct user_id, t_type, cast(amount as double) amount, strftime(tx_date, '%Y-%m-%d') tx_date,
                    category, note from ledger""",
+        "stream_dedupe_sink": with_("ledger") + """
+            select distinct user_id, t_type, cast(amount as double) amount, strftime(tx_date, '%Y-%m-%d') tx_date,
+                   category, note from ledger""",
         "stream_weekly": oracle["weekly_total"],
         "stream_alerts": with_("ledger") + """,
             w as (select user_id, date_trunc('week', tx_date) as week, sum(amount) total from ledger
