@@ -35,10 +35,15 @@ def missing_verdict(df: DataFrame) -> DataFrame:
 
 
 def sensitive_columns(df: DataFrame) -> DataFrame:
-    """I4: column names containing ``name`` or ``account`` (schema inspection, one row)."""
+    """I4: columns whose name contains ``name`` or ``account``, with how many rows hold a value.
+
+    Names come from the schema; the exposure counts are one aggregate pass.
+    """
     hits = [c for c in df.columns if any(p in c.lower() for p in SENSITIVE_NAME_PARTS)]
-    spark = df.sparkSession
-    return spark.createDataFrame([(hits, len(hits) > 0)], "columns array<string>, flagged boolean")
+    if not hits:
+        return df.sparkSession.createDataFrame([], "column_name string, non_null long")
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in hits])
+    return counts.unpivot([], hits, "column_name", "non_null")
 
 
 def masked(df: DataFrame, col: str = "note") -> DataFrame:

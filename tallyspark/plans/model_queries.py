@@ -172,7 +172,7 @@ def q_display_format(spark, d):
 
 def q_sensitive_columns(spark, d):
     from tallyspark.sources.testdata import users
-    return Q.sensitive_columns(users(spark, d)).withColumn("columns", F.array_join("columns", ","))
+    return Q.sensitive_columns(users(spark, d))
 
 
 def q_masked(spark, d):
@@ -284,7 +284,7 @@ def model_oracle_sql(with_, ledger_cols: str) -> dict[str, str]:
         "append_events": """select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') ts, user_id, event_type, value, props
                             from events""",
         "encryption_roundtrip": with_("ledger") + "select tx_id, note, cast(amount as varchar) amount from ledger",
-        "sensitive_columns": "select 'username' as columns, true as flagged",
+        "sensitive_columns": with_("users") + "select 'username' as column_name, count(username) non_null from users",
         "masked": with_("ledger") + """
             select tx_id, regexp_replace(regexp_replace(regexp_replace(note, '[A-Z]', 'X', 'g'),
                                                         '[a-z]', 'x', 'g'), '[0-9]', 'n', 'g') note

@@ -80,8 +80,10 @@ def test_encrypt_roundtrip_and_bad_tokens(make_ledger):
 
 
 def test_sensitive_columns_and_mask(spark, make_ledger):
-    users = spark.createDataFrame([(1, "ann", "1234")], "user_id long, username string, account_no string")
-    r = collect(Q.sensitive_columns(users))[0]
-    assert r["columns"] == ["username", "account_no"] and r["flagged"]
+    users = spark.createDataFrame([(1, "ann", "1234"), (2, "bob", None)],
+                                  "user_id long, username string, account_no string")
+    r = {x["column_name"]: x["non_null"] for x in collect(Q.sensitive_columns(users))}
+    assert r == {"username": 2, "account_no": 1}
+    assert collect(Q.sensitive_columns(users.select("user_id"))) == []
     L = make_ledger([("1", 1, "expense", "A", 5, "2024-01-01", "Card 42")])
     assert collect(Q.masked(L))[0]["note"] == "Xxxx nn"
