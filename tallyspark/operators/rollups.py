@@ -71,13 +71,21 @@ def top_category(df: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
             .select(*k, "category", "total", (F.col("share") * 100).alias("pct")))
 
 
+def _zero_sum(cond: F.Column) -> F.Column:
+    return F.coalesce(F.sum(F.when(cond, F.col("amount"))), F.lit(0).cast("decimal(28,2)"))
+
+
 def monthly_in_out(df: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
-    """Month x type totals, zero-filled (only observed months)."""
+    """Month x type totals, zero-filled (only observed months).
+
+    A pivot with a fixed value list written as conditional sums: one hash
+    aggregate (``pivot`` would add a second aggregation phase and shuffle).
+    """
     k = keys(by)
     return (df.filter(F.col("tx_date").isNotNull())
-            .withColumn("month", month_label())
-            .groupBy(*k, "month").pivot("t_type", [INCOME, EXPENSE]).sum("amount")
-            .na.fill(0, [INCOME, EXPENSE]))
+            .groupBy(*k, month_label().alias("month"))
+            .agg(_zero_sum(F.col("t_type") == INCOME).alias(INCOME),
+                 _zero_sum(F.col("t_type") == EXPENSE).alias(EXPENSE)))
 
 
 def monthly_averages(df: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
@@ -129,13 +137,12 @@ def expense_categories(df: DataFrame) -> list[str]:
 
 
 def category_matrix(df: DataFrame, cats: Sequence[str], by: Sequence[str] | None = None) -> DataFrame:
-    """C11: expense month x category matrix, zero-filled, over a given category list."""
+    """C11: expense month x category matrix, zero-filled, over a given category list (conditional sums)."""
     k = keys(by)
     cats = list(cats)
     return (df.filter((F.col("t_type") == EXPENSE) & F.col("tx_date").isNotNull())
-            .withColumn("month", month_label())
-            .groupBy(*k, "month").pivot("category", cats).sum("amount")
-            .na.fill(0, cats))
+            .groupBy(*k, month_label().alias("month"))
+            .agg(*[_zero_sum(F.col("category") == c).alias(c) for c in cats]))
 
 
 def last_month_matrix(df: DataFrame, cats: Sequence[str], by: Sequence[str] | None = None) -> DataFrame:
