@@ -153,6 +153,14 @@ def q_insight_report(spark, d):
     return insight_report(L, anomalies=an, advice=adv)
 
 
+def q_insight_messages(spark, d):
+    L = ledger(spark, d)
+    an = H5.detect_anomalies(_fitted(spark, d, "anomaly", "all"), L)
+    adv = H10.budget_advice(_fitted(spark, d, "budget", "all"), L).select("user_id", "recommendations")
+    from tallyspark.plans.report import insight_messages
+    return insight_messages(L, anomalies=an, advice=adv)
+
+
 # ---- text, sampling, governance
 def q_note_keywords(spark, d):
     return T.note_keywords(ledger(spark, d))
@@ -238,6 +246,7 @@ MODEL_QUERIES = {
     "budget_clusters": q_budget_clusters,
     "budget_advice": q_budget_advice,
     "insight_report": q_insight_report,
+    "insight_messages": q_insight_messages,
     "note_keywords": q_note_keywords,
     "document_keywords": q_document_keywords,
     "transparency_sample": q_transparency_sample,

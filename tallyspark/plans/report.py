@@ -53,6 +53,38 @@ def insight_list(df: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
     return j.select(*k, verdict.alias("verdict"), trend_message().alias("trend_message"))
 
 
+def insight_messages(df: DataFrame, by: Sequence[str] | None = None, anomalies: DataFrame | None = None,
+                     advice: DataFrame | None = None) -> DataFrame:
+    """H14 in full: the per-key message list, long form ``(key, section, sort_key, message)``.
+
+    Sections in reading order: 0 verdict, 1 anomaly messages (by date and id),
+    2 trend, 3 budget advice.  One row per message and no per-key collect or
+    window, so a key with many anomalies is spread like any other rows; the
+    reader orders by ``(section, sort_key)``.
+    """
+    k = keys(by)
+    head = insight_list(df, by)
+    parts = [head.select(*k, F.lit(0).alias("section"), F.lit("").alias("sort_key"),
+                         F.col("verdict").alias("message")),
+             head.select(*k, F.lit(2).alias("section"), F.lit("").alias("sort_key"),
+                         F.col("trend_message").alias("message"))]
+    if anomalies is not None:
+        from tallyspark.ml.anomaly import anomaly_messages
+        msgs = anomaly_messages(anomalies).join(anomalies.select("tx_id", "tx_date"), "tx_id")
+        parts.append(msgs.select(*k, F.lit(1).alias("section"),
+                                 F.concat_ws("|", F.date_format("tx_date", "yyyy-MM-dd"), F.col("tx_id"))
+                                 .alias("sort_key"), "message"))
+    if advice is not None:
+        parts.append(advice.select(*k, F.lit(3).alias("section"), F.explode(
+            F.arrays_zip(F.sequence(F.lit(1), F.size("recommendations")), F.col("recommendations"))).alias("r"))
+            .select(*k, "section", F.format_string("%03d", F.col("r").getField("0")).alias("sort_key"),
+                    F.col("r").getField("recommendations").alias("message")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def insight_report(df: DataFrame, by: Sequence[str] | None = None,
                    anomalies: DataFrame | None = None, advice: DataFrame | None = None) -> DataFrame:
     """One wide row per key: checks, stats, trend, forecast, goal, alert, anomalies, advice.

@@ -122,3 +122,17 @@ def test_exact_percentile_matches_numpy():
         full = np.repeat(vals, cnts)
         for q in (0.0, 0.05, 0.5, 0.97, 1.0):
             assert abs(A.exact_percentile(vals, cnts, q) - np.percentile(full, 100 * q)) < 1e-9
+
+
+def test_insight_messages_long_form(make_ledger):
+    from tallyspark.plans.report import MSG_OVERSPENT, insight_messages
+    L = _spike(make_ledger)
+    m = A.fit_anomaly(L)
+    an = A.detect_anomalies(m, L)
+    adv = L.sparkSession.createDataFrame([(1, ["tip one", "tip two"])], "user_id long, recommendations array<string>")
+    rows = collect(insight_messages(L, anomalies=an, advice=adv), ["section", "sort_key"])
+    assert rows[0]["section"] == 0 and rows[0]["message"] == MSG_OVERSPENT
+    spike = [r["message"] for r in rows if r["section"] == 1 and "1800.00" in r["message"]]
+    assert spike == ["⚠️ On 2024-01-06, unusual spending detected: $1800.00 in Food."]
+    assert [r["message"] for r in rows if r["section"] == 3] == ["tip one", "tip two"]
+    assert [r["section"] for r in rows].count(2) == 1
