@@ -60,3 +60,35 @@ def test_small_side_broadcast_is_size_checked(spark):
         or "broadcast" in Rel.small_side(u, max_rows=10_000)._jdf.queryExecution().logical().toString().lower()
     big = Rel.small_side(u, max_rows=10)
     assert "broadcast" not in big._jdf.queryExecution().logical().toString().lower()
+
+
+REDUCERS = ("HashAggregate", "TakeOrderedAndProject", "WindowGroupLimit", "GlobalLimit", "LocalLimit",
+            "CollectLimit", "ObjectHashAggregate", "SortAggregate")
+
+
+def _single_partition_inputs(p: str) -> list[list[str]]:
+    """For every single-partition exchange, the operators below it down to the next exchange or scan."""
+    lines = p.split("\n")
+    out = []
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" not in line:
+            continue
+        depth = len(line) - len(line.lstrip(" :+-"))
+        below = []
+        for nxt in lines[i + 1:]:
+            d = len(nxt) - len(nxt.lstrip(" :+-"))
+            if d <= depth:
+                break
+            below.append(nxt.strip(" :+-"))
+            if nxt.strip(" :+-").startswith(("Exchange", "FileScan", "Scan")):
+                break
+        out.append(below)
+    return out
+
+
+@pytest.mark.parametrize("name", SQL_OPS)
+def test_no_single_partition_step_over_raw_rows(spark, name):
+    # a whole-ledger key (by=[]) may gather into one partition only after an aggregate or a limit
+    p = plan(registry.QUERIES[name](spark, SF_SMALL))
+    for below in _single_partition_inputs(p):
+        assert any(op.startswith(REDUCERS) for op in below), (name, below[:6])
