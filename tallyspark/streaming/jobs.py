@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tallyspark.functions.columns import keys
+from tallyspark.functions.columns import keys, week_start
 from tallyspark.operators.filters import validate
 from tallyspark.operators.relate import DUP_COLS
 from tallyspark.schema import EXPENSE, INCOME, RAW_TX_SCHEMA, UNCATEGORIZED_RESOLVED, WEEKLY_ALERT_FACTOR
@@ -55,11 +55,17 @@ def read_raw_stream(spark: SparkSession, path: str, fmt: str = "parquet",
 
 def read_ledger_stream(spark: SparkSession, path: str, schema: T.StructType,
                        max_files_per_trigger: int | None = None) -> DataFrame:
-    """Typed ledger rows from parquet files, with ``event_ts`` (the transaction date)."""
+    """Typed ledger rows from parquet files, with ``event_ts`` (the transaction date).
+
+    ``event_ts`` is the UTC midnight of the date (from days since the epoch),
+    so windows, watermarks and week labels follow the calendar date whatever
+    the session time zone.
+    """
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(path).withColumn("event_ts", F.col("tx_date").cast("timestamp"))
+    return r.parquet(path).withColumn(
+        "event_ts", F.timestamp_seconds(F.unix_date("tx_date").cast("long") * 86400))
 
 
 # ------------------------------------------------------------------ J1
@@ -147,7 +153,8 @@ def stream_weekly(sdf: DataFrame, delay: str = "30 days", by: Sequence[str] | No
     return (sdf.withWatermark("event_ts", delay)
             .groupBy(*k, F.window("event_ts", "1 week", "1 week", "4 days").alias("w"))
             .agg(F.sum("amount").alias("total"))
-            .select(*k, F.col("w.start").cast("date").alias("week"), "total"))
+            .select(*k, F.date_from_unix_date((F.unix_seconds(F.col("w.start")) / 86400).cast("int")).alias("week"),
+                    "total"))
 
 
 def write_batches(path: str):
@@ -226,10 +233,9 @@ def _alerts_fn(factor: float):
 def stream_alerts(sdf: DataFrame, delay: str = "30 days", factor: float = WEEKLY_ALERT_FACTOR) -> DataFrame:
     """Per user running balance (income - expense) and the weekly alert, in update mode."""
     rows = sdf.withWatermark("event_ts", delay).select(
-        "user_id", "t_type", "event_ts",
+        "user_id", "t_type", "event_ts", "tx_date",
         (F.col("amount") * 100).cast("bigint").alias("cents"),
-        F.datediff(F.date_trunc("week", "event_ts").cast("date"), F.lit("1970-01-01").cast("date"))
-        .cast("bigint").alias("week_day"))
+        F.unix_date(week_start("tx_date")).cast("bigint").alias("week_day"))
     return rows.groupBy("user_id").applyInPandasWithState(
         _alerts_fn(factor), ALERT_OUTPUT, ALERT_STATE, "update", GroupStateTimeout.NoTimeout)
 

@@ -70,8 +70,9 @@ def test_alert_state_multi_batch_equals_batch(spark, make_ledger):
 def test_dedupe_drops_repeats_within_watermark(spark, make_ledger):
     L = _weeks(make_ledger)
     src, ck, out = _dirs(spark)
-    L.write.parquet(src)
-    L.withColumn("tx_id", F.concat(F.lit("R"), "tx_id")).write.mode("append").parquet(src)
+    # one file per write, written in order: the repeats arrive in the second batch
+    L.coalesce(1).write.parquet(src)
+    L.withColumn("tx_id", F.concat(F.lit("R"), "tx_id")).coalesce(1).write.mode("append").parquet(src)
     sdf = J.stream_dedupe(J.read_ledger_stream(spark, src, LEDGER_SCHEMA, max_files_per_trigger=1))
     J.run_available(sdf, ck, J.write_batches(out))
     assert spark.read.parquet(out).count() == L.count()
@@ -147,3 +148,19 @@ def test_late_rows_beyond_the_watermark_are_dropped(spark, make_ledger):
     assert a["n_weeks"] == w["n_weeks"] and a["mean_prev"] == w["mean_prev"]
     assert a["last_total"] == float(w["last_total"])
     assert a["balance"] == -float(collect(kept.agg(F.sum("amount").alias("s")))[0]["s"])
+
+
+def test_weekly_stream_labels_do_not_depend_on_session_time_zone(spark, make_ledger):
+    L = _weeks(make_ledger)
+    src, ck, out = _dirs(spark)
+    L.coalesce(1).write.parquet(src)
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        sdf = J.stream_weekly(J.read_ledger_stream(spark, src, LEDGER_SCHEMA))
+        J.run_available(sdf, ck, J.write_batches(out), output_mode="update")
+        got = sorted((r["user_id"], r["week"], r["total"])
+                     for r in collect(J.read_latest(spark, out, ["user_id", "week"])))
+        want = sorted((r["user_id"], r["week"], r["total"]) for r in collect(C.weekly_total(L)))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == want and all(w.weekday() == 0 for _, w, _ in got)
