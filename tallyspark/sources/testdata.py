@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,11 +33,17 @@ def _file_id(path: str) -> str:
         return ""
 
 
+_LOCK = threading.RLock()  # one builder per process; re-entrant: a build reads its source tables
+
+
 def _remember(spark: SparkSession, key: tuple, make) -> DataFrame:
     k = (id(spark), spark.sparkContext.applicationId) + key
     df = _FRAMES.get(k)
     if df is None:
-        df = _FRAMES[k] = make()
+        with _LOCK:
+            df = _FRAMES.get(k)
+            if df is None:
+                df = _FRAMES[k] = make()
     return df
 
 
