@@ -164,3 +164,21 @@ def test_weekly_stream_labels_do_not_depend_on_session_time_zone(spark, make_led
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert got == want and all(w.weekday() == 0 for _, w, _ in got)
+
+
+def test_alert_state_does_not_depend_on_session_time_zone(spark, make_ledger):
+    L = _weeks(make_ledger)
+    src, ck, out = _dirs(spark)
+    _stage_in_order(L, src)
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        sdf = J.stream_alerts(J.read_ledger_stream(spark, src, LEDGER_SCHEMA, max_files_per_trigger=1), delay="8 days")
+        J.run_available(sdf, ck, J.write_batches(out), output_mode="update")
+        got = {r["user_id"]: r for r in collect(J.read_latest(spark, out, ["user_id"]))}
+        want = {r["user_id"]: r for r in collect(E.weekly_alert(L))}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert set(got) == set(want)
+    for u, w in want.items():
+        assert got[u]["last_week"] == w["last_week"] and got[u]["n_weeks"] == w["n_weeks"]
+        assert got[u]["mean_prev"] == w["mean_prev"] and got[u]["alert"] == w["alert"]
