@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.columns import keys
+from tallyspark.schema import ENGLISH_STOP_WORDS
 
 ALPHA_TOKEN = r"\p{L}+"
 
@@ -26,18 +27,14 @@ def note_text(df: DataFrame) -> DataFrame:
         .withColumn("_text", F.concat_ws(": ", F.col("category"), F.col("note")))
 
 
-def note_keywords(df: DataFrame, by: Sequence[str] | None = None, language: str = "english") -> DataFrame:
+def note_keywords(df: DataFrame, by: Sequence[str] | None = None,
+                  stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> DataFrame:
     """Distinct keywords per key."""
     k = keys(by)
     t = note_text(df).select(*k, "_text")
     tok = RegexTokenizer(inputCol="_text", outputCol="_tok", pattern=ALPHA_TOKEN, gaps=False,
                          toLowercase=True, minTokenLength=1).transform(t)
     sw = StopWordsRemover(inputCol="_tok", outputCol="_kw",
-                          stopWords=StopWordsRemover.loadDefaultStopWords(language)).transform(tok)
+                          stopWords=list(stop_words)).transform(tok)
     return sw.select(*k, F.explode("_kw").alias("keyword")).distinct()
 
-
-def keyword_counts(df: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
-    """Number of distinct keywords per key (a bounded summary of ``note_keywords``)."""
-    k = keys(by)
-    return note_keywords(df, by).groupBy(*k).agg(F.count(F.lit(1)).alias("n_keywords"))

@@ -9,10 +9,7 @@ tables to the shared checkpoint folder and read it back.
 
 from __future__ import annotations
 
-import glob
-import os
 import uuid
-import zipfile
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +23,7 @@ from tallyspark.operators import quality as Q
 from tallyspark.operators import text as T
 from tallyspark.operators.filters import display_format
 from tallyspark.plans.report import insight_report
+from tallyspark.schema import ENGLISH_STOP_WORDS
 from tallyspark.session import checkpoint_dir
 from tallyspark.sources import files as A
 from tallyspark.sources.testdata import audit_events, ledger, notes, table
@@ -262,16 +260,8 @@ MODEL_QUERIES = {
 }
 
 
-def english_stop_words() -> list[str]:
-    """Spark ML's default English stop words, read from the ML jar (for the SQL twin)."""
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as z:
-        return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split()
-
-
 def _stop_sql() -> str:
-    return ", ".join("'" + w.replace("'", "''") + "'" for w in english_stop_words())
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS)
 
 
 def model_oracle_sql(with_, ledger_cols: str) -> dict[str, str]:

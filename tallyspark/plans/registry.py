@@ -21,6 +21,7 @@ from tallyspark.operators import quality as Q
 from tallyspark.operators import relate as D
 from tallyspark.operators import rollups as C
 from tallyspark.plans import report as R
+from tallyspark.session import ship_package
 from tallyspark.sources import files as A
 from tallyspark.sources.testdata import (HOUSEHOLDS_SQL, LEDGER_SQL, USERS_SQL, audit_events, households,
                                          ledger, users)
@@ -172,6 +173,7 @@ QUERIES = {
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     df = QUERIES[name](spark, sf_dir)
     return present(df.drop("tx_month") if name not in KEEP_MONTH else df)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -53,3 +54,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to every Python worker, once per Spark application.
+
+    Python functions are pickled by reference to their module, so a worker has
+    to be able to import it; the zip travels through Spark's own file server
+    and a driver-local temporary file is enough.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tallyspark_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tallyspark-pkg-"), "tallyspark_pkg.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("tallyspark", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._tallyspark_shipped = True
