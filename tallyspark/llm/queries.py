@@ -4,15 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import neardup
+from tallyspark.llm import neardup, warc
 from tallyspark.llm.common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write_warc(table(spark, sf_dir, "pages"))
+    return warc.read_warc(spark, archive, payloads=False).select("page_id", "payload_bytes", "payload_digest",
+                                                                "record_type", "refers_to")
+
+
 def op9_hyperminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op9_hyperminhash_neardup": op9_hyperminhash_neardup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+        with p as (select page_id, coalesce(html, '') html, cast(octet_length(encode(coalesce(html, ''))) as bigint) n,
+                          max(page_id) over (partition by coalesce(html, '')) top from pages)
+        select page_id, n payload_bytes, sha1(html) payload_digest,
+               case when n >= 1000 and page_id <> top then 'revisit' else 'response' end record_type,
+               case when n >= 1000 and page_id <> top then top end refers_to
+        from p""",
+}
