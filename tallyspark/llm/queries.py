@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyspark.llm import neardup, warc
+from tallyspark.llm import neardup, topk, warc
 from tallyspark.llm.common import table
 
 
@@ -14,12 +15,17 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                                 "record_type", "refers_to")
 
 
+def op7_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
 def op9_hyperminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op7_maxscore_topk": op7_maxscore_topk,
     "op9_hyperminhash_neardup": op9_hyperminhash_neardup,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -30,4 +36,13 @@ ORACLE_SQL: dict[str, str] = {
                case when n >= 1000 and page_id <> top then 'revisit' else 'response' end record_type,
                case when n >= 1000 and page_id <> top then top end refers_to
         from p""",
+    "op7_maxscore_topk": """
+        with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) v
+                   from embeddings where embedding is not null and len(embedding) > 0
+                   and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select q.vec_id query_id, c.vec_id,
+                     cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) as bigint) score
+              from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
+        select query_id, cast(rank as integer) rank, vec_id, score from r where rank <= 20""",
 }
