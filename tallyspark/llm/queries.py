@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import neardup, topk, warc
+from tallyspark.llm import neardup, topk, toxicity, warc
 from tallyspark.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op7_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
+def op8_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_hyperminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -26,6 +31,7 @@ def op9_hyperminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op7_maxscore_topk": op7_maxscore_topk,
+    "op8_lexicon_toxicity": op8_lexicon_toxicity,
     "op9_hyperminhash_neardup": op9_hyperminhash_neardup,
 }
 ORACLE_SQL: dict[str, str] = {
