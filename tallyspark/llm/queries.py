@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import neardup, topk, toxicity, warc
-from tallyspark.llm.common import table
+from tallyspark.llm import langid, neardup, topk, toxicity, warc
+from tallyspark.llm.common import fold, held_out, table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                                 "record_type", "refers_to")
 
 
+def op4_viterbi_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(fold(F.col("doc_id")) != 0))
+    return langid.predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op7_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
@@ -30,6 +36,7 @@ def op9_hyperminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op4_viterbi_langid": op4_viterbi_langid,
     "op7_maxscore_topk": op7_maxscore_topk,
     "op8_lexicon_toxicity": op8_lexicon_toxicity,
     "op9_hyperminhash_neardup": op9_hyperminhash_neardup,
