@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import langid, neardup, topk, toxicity, warc
+from tallyspark.llm import langid, neardup, topk, toxicity, urls, warc
 from tallyspark.llm.common import fold, held_out, table
 
 
@@ -21,6 +21,14 @@ def op4_viterbi_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
+             ("block", "net/fr/")]
+
+
+def op6_bayes_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
@@ -37,6 +45,7 @@ def op9_hyperminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op4_viterbi_langid": op4_viterbi_langid,
+    "op6_bayes_url_filter": op6_bayes_url_filter,
     "op7_maxscore_topk": op7_maxscore_topk,
     "op8_lexicon_toxicity": op8_lexicon_toxicity,
     "op9_hyperminhash_neardup": op9_hyperminhash_neardup,
