@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import langid, neardup, topk, toxicity, urls, warc
+from tallyspark.llm import bpe, langid, neardup, topk, toxicity, urls, warc
 from tallyspark.llm.common import fold, held_out, table
 
 
@@ -15,6 +15,13 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                                 "record_type", "refers_to")
 
 
+def op3_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                          F.sha2("ids", 256).alias("ids_sha256"),
+                          F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op4_viterbi_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(fold(F.col("doc_id")) != 0))
@@ -44,6 +51,7 @@ def op9_hyperminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op3_chunked_bpe": op3_chunked_bpe,
     "op4_viterbi_langid": op4_viterbi_langid,
     "op6_bayes_url_filter": op6_bayes_url_filter,
     "op7_maxscore_topk": op7_maxscore_topk,
