@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, langid, neardup, topk, toxicity, urls, warc
+from tallyspark.llm import bpe, langid, neardup, pii, topk, toxicity, urls, warc
 from tallyspark.llm.common import fold, held_out, table
 
 
@@ -49,6 +49,12 @@ def op9_hyperminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op10_skipchain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
+                                                F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op3_chunked_bpe": op3_chunked_bpe,
@@ -57,6 +63,7 @@ QUERIES = {
     "op7_maxscore_topk": op7_maxscore_topk,
     "op8_lexicon_toxicity": op8_lexicon_toxicity,
     "op9_hyperminhash_neardup": op9_hyperminhash_neardup,
+    "op10_skipchain_pii": op10_skipchain_pii,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """
