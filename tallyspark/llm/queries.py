@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, langid, neardup, pii, topk, toxicity, urls, warc
+from tallyspark.llm import bpe, decontam, langid, neardup, pii, topk, toxicity, urls, warc
 from tallyspark.llm.common import fold, held_out, table
 
 
@@ -15,6 +15,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                                 "record_type", "refers_to")
 
 
+def op2_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
     return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -57,6 +61,7 @@ def op10_skipchain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_latent_decontamination": op2_latent_decontamination,
     "op3_chunked_bpe": op3_chunked_bpe,
     "op4_viterbi_langid": op4_viterbi_langid,
     "op6_bayes_url_filter": op6_bayes_url_filter,
