@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, decontam, langid, neardup, pii, topk, toxicity, urls, warc
+from tallyspark.llm import bpe, decontam, langid, lm, neardup, pii, topk, toxicity, urls, warc
 from tallyspark.llm.common import fold, held_out, table
 
 
@@ -32,6 +32,11 @@ def op4_viterbi_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, lm.train(docs))
+
+
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
              ("block", "net/fr/")]
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op2_latent_decontamination": op2_latent_decontamination,
     "op3_chunked_bpe": op3_chunked_bpe,
     "op4_viterbi_langid": op4_viterbi_langid,
+    "op5_masked_pseudo_likelihood": op5_masked_pseudo_likelihood,
     "op6_bayes_url_filter": op6_bayes_url_filter,
     "op7_maxscore_topk": op7_maxscore_topk,
     "op8_lexicon_toxicity": op8_lexicon_toxicity,
