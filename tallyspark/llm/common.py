@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.session import checkpoint_dir, ship_package
 
@@ -154,3 +155,23 @@ def arrow_texts(batches: Iterator[pa.RecordBatch], limit: int = BATCH_CHARS) ->
     """Bounded (ids, texts) groups from Arrow batches of two columns (id, text)."""
     for b in batches:
         yield from text_batches(b.column(0).to_pylist(), b.column(1).to_pylist(), limit)
+
+
+def add_columns(df: DataFrame, text_col: str, make, fields: dict[str, str], rows: int = 2000) -> DataFrame:
+    """``df`` with further columns computed from its text column, ``rows`` rows at a time; other columns pass through.
+
+    ``make`` turns a list of texts (null as "") into one Arrow array per new column.
+    """
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            for s in range(0, b.num_rows, rows):
+                piece = b.slice(s, rows)
+                new = make([t or "" for t in piece.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*piece.columns, *new], names=[*piece.schema.names, *fields])
+
+    schema = df.schema
+    for name, kind in fields.items():
+        schema = T.StructType([*schema.fields, T.StructField(name, T._parse_datatype_string(kind))])
+    return df.mapInArrow(run, schema)

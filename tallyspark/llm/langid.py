@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import BATCH_CHARS, arrow_texts, code_points, mix
+from tallyspark.llm.common import BATCH_CHARS, add_columns, arrow_texts, code_points, mix, text_batches
 
 BUCKETS = 1 << 15
 SWITCH = 12.0
@@ -202,25 +202,30 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
     return path
 
 
+def _decide(model: Model, switch: float, n: int, parts) -> tuple[list[str], np.ndarray]:
+    """Prediction and score of ``n`` texts from the word scores of their parts."""
+    k = len(model.langs)
+    score = np.concatenate([p[2] for p in parts]) if parts else np.zeros((0, k), dtype=np.float32)
+    size = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, dtype=np.int64)
+    doc = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, dtype=np.int64)
+    lengths = np.bincount(doc, minlength=n)
+    letters = np.zeros((n, k + 1))
+    if len(doc) and k:
+        path = viterbi(score, lengths, switch).astype(np.int64)
+        path[score.max(1) <= -1e4] = k                          # no learned language uses the script
+        np.add.at(letters, (doc, path), size)
+    total = letters.sum(1)
+    best = letters[:, :k].argmax(1) if k else np.zeros(n, dtype=int)
+    known = letters[np.arange(n), best] > 0
+    names = [model.langs[b] if ok else UNKNOWN for b, ok in zip(best, known)]
+    return names, np.where(known, letters[np.arange(n), best] / np.maximum(total, 1), 0.0)
+
+
 def _predict_batches(model: Model, switch: float):
     schema = pa.schema([("row", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
-    def decide(ids, parts):
-        k = len(model.langs)
-        score = np.concatenate([p[2] for p in parts]) if parts else np.zeros((0, k), dtype=np.float32)
-        size = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, dtype=np.int64)
-        doc = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, dtype=np.int64)
-        lengths = np.bincount(doc, minlength=len(ids))
-        letters = np.zeros((len(ids), k + 1))
-        if len(doc) and k:
-            path = viterbi(score, lengths, switch).astype(np.int64)
-            path[score.max(1) <= -1e4] = k                          # no learned language uses the script
-            np.add.at(letters, (doc, path), size)
-        total = letters.sum(1)
-        best = letters[:, :k].argmax(1) if k else np.zeros(len(ids), dtype=int)
-        known = letters[np.arange(len(ids)), best] > 0
-        names = [model.langs[b] if ok else UNKNOWN for b, ok in zip(best, known)]
-        share = np.where(known, letters[np.arange(len(ids)), best] / np.maximum(total, 1), 0.0)
+    def result(ids, parts):
+        names, share = _decide(model, switch, len(ids), parts)
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(share)],
                                           schema=schema)
 
@@ -232,13 +237,26 @@ def _predict_batches(model: Model, switch: float):
             ids += more
             words += len(doc)
             if words >= VITERBI_WORDS:
-                yield decide(ids, parts)
+                yield result(ids, parts)
                 ids, parts, words = [], [], 0
         if ids:
-            yield decide(ids, parts)
+            yield result(ids, parts)
     return run
 
 
+def label_rows(docs: DataFrame, model: Model, text_col: str = "text", switch: float = SWITCH) -> DataFrame:
+    """``docs`` with the columns lang_pred and lang_score."""
+    def make(texts):
+        parts, n = [], 0
+        for _, some in text_batches(texts, texts):
+            doc, size, e = word_scores(model, some)
+            parts.append((doc + n, size, e))
+            n += len(some)
+        names, share = _decide(model, switch, len(texts), parts)
+        return [pa.array(names, pa.string()), pa.array(share)]
+    return add_columns(docs, text_col, make, {"lang_pred": "string", "lang_score": "double"})
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
             switch: float = SWITCH) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of ``docs``."""

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import arrow_texts
+from tallyspark.llm.common import add_columns, arrow_texts
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["other", *KINDS]
@@ -343,3 +343,16 @@ def find(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return d.mapInArrow(_found_batches(model), "doc_id long, base string, spans string, "
                         + ", ".join(f"n_{k} long" for k in KINDS) + ", masked string")
+
+
+def mask_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with all spans of the text masked; a null text stays null."""
+    def make(texts):
+        out = []
+        for t in texts:
+            base = base_spans(t)
+            spans = base + added_spans(t, base, model)
+            out.append(mask(t, spans) if spans else t)
+        return [pa.array(out, pa.string())]
+    masked = add_columns(docs, text_col, make, {"_masked": "string"})
+    return masked.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.col("_masked"))).drop("_masked")
