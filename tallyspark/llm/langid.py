@@ -146,8 +146,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
 def word_scores(model: Model, texts: list[str]):
     """(text of each word, letters, scores (words, languages)); an excluded language scores -1e4."""
     doc, size, script, offsets, grams = word_features(texts)
-    if not len(doc):
-        return doc, size, np.zeros((0, len(model.langs)), dtype=np.float32)
+    if not len(doc) or not model.langs:
+        return doc, size, np.zeros((len(doc), len(model.langs)), dtype=np.float32)
     per_letter = model.logp[grams[:, 0]]
     per_letter += model.logp[grams[:, 1]]
     per_letter += model.logp[grams[:, 2]]
