@@ -30,6 +30,7 @@ repeated rows have their rows in the result; extra columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from dataclasses import dataclass
@@ -285,25 +286,32 @@ def added_spans(text: str, base: list[tuple[str, int, int]], model: Model) -> li
 
 
 # ---------------------------------------------------------------- Spark jobs
-def _sample_batches(batches):
-    """(id, text) of the documents with base spans."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+def _holding_batches(batches):
+    """Ids of the documents with base spans."""
     for ids, texts in arrow_texts(batches):
-        keep = [(i, t) for i, t in zip(ids, texts) if i is not None and len(t) <= 100_000 and base_spans(t)]
+        keep = [i for i, t in zip(ids, texts) if i is not None and base_spans(t)]
         if keep:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*keep), schema.types)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64())], schema=pa.schema([("doc_id", pa.int64())]))
+
+
+def _example_batches(batches):
+    """Pickled (graph, base labels): what training needs of a document, not its text."""
+    for _, texts in arrow_texts(batches):
+        out = []
+        for t in texts:
+            g = graph(t)
+            out.append(pickle.dumps((g.features, g.chain, g.skip, base_labels(g, base_spans(t)))))
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], schema=pa.schema([("example", pa.binary())]))
 
 
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Train on at most ``fit_docs`` documents with base spans, chosen by hash of the id."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    few = d.filter(F.col("text").rlike("[0-9@]")).mapInArrow(_sample_batches, "doc_id long, text string") \
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(fit_docs)
-    examples = []
-    for r in few.collect():
-        g = graph(r["text"])
-        examples.append((g, base_labels(g, base_spans(r["text"]))))
-    return train(examples)
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")) \
+        .filter(F.col("text").rlike("[0-9@]"))
+    few = d.mapInArrow(_holding_batches, "doc_id long").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
+    # at most fit_docs ids, so they may be broadcast
+    rows = d.join(F.broadcast(few), "doc_id", "left_semi").mapInArrow(_example_batches, "example binary").collect()
+    return train([(Graph([], *x[:3]), x[3]) for x in (pickle.loads(r) for r in sorted(r[0] for r in rows))])
 
 
 def _found_batches(model: Model):
