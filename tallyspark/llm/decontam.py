@@ -28,6 +28,7 @@ benchmark or corpus gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -159,8 +160,9 @@ def _sum_batches(batches):
 
 
 def _summed(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
-    """Sum of matrices, first in a few tasks, then on the driver (each of model size)."""
-    rows = parts.repartition(8).mapInArrow(_sum_batches, "part binary").collect()
+    """Sum of matrices of model size: the square root of their number in tasks, those sums on the driver."""
+    tasks = max(2, math.isqrt(parts.rdd.getNumPartitions()))
+    rows = parts.repartition(tasks).mapInArrow(_sum_batches, "part binary").collect()
     return sum((np.frombuffer(r[0]).reshape(shape) for r in rows), np.zeros(shape))
 
 
