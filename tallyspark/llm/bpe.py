@@ -54,20 +54,31 @@ _GEAR = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint6
 
 
 # ---------------------------------------------------------------- tokenizer
+def _ranks() -> dict[bytes, int]:
+    import public_tokenizers as P
+    with open(P.path(f"{VOCABULARY}.tiktoken"), "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 def _encoder():
     if "fast" not in _ENCODER:
         import public_tokenizers as P
         import tiktoken
-        with open(P.path(f"{VOCABULARY}.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODER["fast"] = tiktoken.Encoding("byte_bpe", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        table = [b""] * (max(ranks.values()) + 1)
-        for token, i in ranks.items():
-            table[i] = token
-        _ENCODER["bytes"] = table + [SPECIAL.encode()] if len(table) == SPECIAL_ID else table
+        _ENCODER["fast"] = tiktoken.Encoding("byte_bpe", pat_str=P.PATTERN, mergeable_ranks=_ranks(), special_tokens={})
     return _ENCODER["fast"]
 
 
+def _token_bytes() -> list[bytes]:
+    """The bytes of every token; a worker that only decodes needs no more."""
+    if "bytes" not in _ENCODER:
+        table = [b""] * (SPECIAL_ID + 1)
+        for token, i in _ranks().items():
+            table[i] = token
+        table[SPECIAL_ID] = SPECIAL.encode()
+        _ENCODER["bytes"] = table
+    return _ENCODER["bytes"]
+
+
 def _reference():
     if "exact" not in _ENCODER:
         import public_tokenizers as P
@@ -100,8 +111,7 @@ def encode_text(text: str) -> np.ndarray:
 
 
 def decode_ids(ids: np.ndarray) -> str:
-    _encoder()
-    table = _ENCODER["bytes"]
+    table = _token_bytes()
     return b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace")
 
 
