@@ -15,10 +15,12 @@ Method
      Jaccard similarity; pairs ``MARGIN`` standard errors below the threshold go.
   4. The rest is confirmed on the full sets: 100 * |A and B| >= threshold * |A or B|.
   5. Components of the confirmed links.  A band group that still holds several
-     components is compared again, in blocks of at most ``BLOCK`` members per
-     side, only across components: pairs estimated similar are confirmed, and
-     the components joined.  So no group is cut off, no group goes to one task,
-     and a group whose members are already linked costs nothing more.
+     components is compared again.  First a text leaves when too many of its
+     shingles occur in no other text of such groups: the others cannot add up to
+     the threshold, with any partner.  The rest is compared in blocks of about
+     ``BLOCK`` members per side, only across components: pairs estimated similar
+     are confirmed, and the components joined.  So no group is cut off, no group
+     goes to one task, and members that are already linked cost nothing more.
 
 A link at the threshold is missed with probability below 1e-7 by banding
 (0.85: 5e-11) and about 3e-5 by the estimate; nothing else is approximate.
@@ -264,11 +266,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # groups that still hold several components: compare across them, in blocks
     comp = F.coalesce(F.col("component"), F.col("rep"))
     m = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", comp.alias("comp"))
-    split = m.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(
-        F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("size"), F.count(F.lit(1)).alias("comps"))
-    split = split.filter("comps > 1 and size > 2").select("band", F.col("top.comp").alias("main"),
-                                                          F.col("top.k").alias("n_main"), "size")
-    rest = m.join(split, "band").join(regs, "rep")
+    m = stored(m.join(_divided(m).select("band"), "band"), "divided")
+    m = m.join(_linkable(sets.join(m.select("rep").distinct(), "rep", "left_semi"), percent), "rep", "left_semi")
+    rest = m.join(_divided(m), "band").join(regs, "rep")
     more = stored(_confirmed(_across(rest, bound), sets, percent), "links")
     label = components(links.unionByName(more))
 
@@ -278,6 +278,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       (F.col("doc_id") == cid).alias("kept"))
 
 
+def _divided(m: DataFrame) -> DataFrame:
+    """(band, main, n_main, size) of the groups of three or more that hold several components."""
+    c = m.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(
+        F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("size"), F.count(F.lit(1)).alias("comps"))
+    return c.filter("comps > 1 and size > 2").select("band", F.col("top.comp").alias("main"),
+                                                     F.col("top.k").alias("n_main"), "size")
+
+
+def _code_rows(batches):
+    schema = pa.schema([("rep", pa.int64()), ("code", pa.int64())])
+    for b in batches:
+        if b.num_rows:
+            codes = [np.frombuffer(c, dtype=np.int64) for c in b.column("codes").to_pylist()]
+            reps = np.repeat(b.column("rep").to_numpy(zero_copy_only=False), [len(c) for c in codes])
+            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(np.concatenate(codes))], schema=schema)
+
+
+def _linkable(sets: DataFrame, percent: int) -> DataFrame:
+    """(rep) of the sets whose shingles shared with any other of these sets reach the threshold."""
+    shared = sets.select("rep", "codes").mapInArrow(_code_rows, "rep long, code long").groupBy("code").agg(
+        F.count(F.lit(1)).alias("k"), F.min("rep").alias("rep")).filter("k = 1")
+    alone = shared.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
+    n = F.octet_length("codes") / 8
+    x = sets.select("rep", n.alias("n")).join(alone, "rep", "left")
+    return x.filter(100 * (F.col("n") - F.coalesce(F.col("alone"), F.lit(0))) >= percent * F.col("n")).select("rep")
+
+
 def _similar(pairs: DataFrame, regs: DataFrame, bound: int) -> DataFrame:
     """Pairs (a, b) whose registers agree in ``bound`` places or more."""
     x = pairs.join(regs.select(F.col("rep").alias("a"), F.col("regs").alias("ra")), "a") \
