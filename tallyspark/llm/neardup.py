@@ -198,10 +198,12 @@ def _band_keys(r: np.ndarray) -> np.ndarray:
     return mix(q + (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _cross_batches(bound: int):
+def _cross_batches(bound: int, percent: int):
     """Rows are (side A block, side B block) pairs; emits the (a, b) estimated similar in other components.
 
-    A pair is reported by its first common band group only.
+    A pair has at most the smaller side's shared shingles in common; where that
+    cannot reach the threshold it is left out (exact).  A pair is reported by its
+    first common band group only.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -216,7 +218,10 @@ def _cross_batches(bound: int):
                 agree = np.zeros((len(ia), len(ib)), dtype=np.int16)
                 for j in range(xa.shape[1]):
                     agree += xa[:, j, None] == xb[None, :, j]
+                na, sa, nb, sb = (np.array(row[c]) for c in ("na", "sa", "nb", "sb"))
+                common = np.minimum(sa[:, None], sb[None, :])
                 ok = (agree >= bound) & (ca[:, None] != cb[None, :])
+                ok &= 100 * common >= percent * (na[:, None] + nb[None, :] - common)
                 p, q = np.nonzero(ok)
                 if not len(p):
                     continue
@@ -267,9 +272,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = F.coalesce(F.col("component"), F.col("rep"))
     m = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", comp.alias("comp"))
     m = stored(m.join(_divided(m).select("band"), "band"), "divided")
-    m = m.join(_linkable(sets.join(m.select("rep").distinct(), "rep", "left_semi"), percent), "rep", "left_semi")
+    m = m.join(_linkable(sets.join(m.select("rep").distinct(), "rep", "left_semi"), percent), "rep")
     rest = m.join(_divided(m), "band").join(regs, "rep")
-    more = stored(_confirmed(_across(rest, bound), sets, percent), "links")
+    more = stored(_confirmed(_across(rest, bound, percent), sets, percent), "links")
     label = components(links.unionByName(more))
 
     out = sk.join(reps.select("fp", "rep"), "fp", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")
@@ -296,13 +301,14 @@ def _code_rows(batches):
 
 
 def _linkable(sets: DataFrame, percent: int) -> DataFrame:
-    """(rep) of the sets whose shingles shared with any other of these sets reach the threshold."""
+    """(rep, n, shared) of the sets whose shingles shared with any other of these sets reach the threshold."""
     shared = sets.select("rep", "codes").mapInArrow(_code_rows, "rep long, code long").groupBy("code").agg(
         F.count(F.lit(1)).alias("k"), F.min("rep").alias("rep")).filter("k = 1")
     alone = shared.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
-    n = F.octet_length("codes") / 8
+    n = (F.octet_length("codes") / 8).cast("long")
     x = sets.select("rep", n.alias("n")).join(alone, "rep", "left")
-    return x.filter(100 * (F.col("n") - F.coalesce(F.col("alone"), F.lit(0))) >= percent * F.col("n")).select("rep")
+    x = x.select("rep", "n", (F.col("n") - F.coalesce(F.col("alone"), F.lit(0))).alias("shared"))
+    return x.filter(100 * F.col("shared") >= percent * F.col("n"))
 
 
 def _similar(pairs: DataFrame, regs: DataFrame, bound: int) -> DataFrame:
@@ -318,7 +324,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.select("a", "b", "ca", "cb").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _across(rest: DataFrame, bound: int) -> DataFrame:
+def _across(rest: DataFrame, bound: int, percent: int) -> DataFrame:
     """Pairs of group members in different components that look similar, found block against block.
 
     A group has a main component and others.  Members of either part are dealt
@@ -327,20 +333,24 @@ def _across(rest: DataFrame, bound: int) -> DataFrame:
     """
     main = F.col("comp") == F.col("main")
     blocks_of = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("long")
-    x = rest.select("band", "rep", "comp", "regs", main.alias("in_main"),
+    x = rest.select("band", "rep", "comp", "regs", "n", "shared", main.alias("in_main"),
                     blocks_of(F.col("n_main")).alias("nm"), blocks_of(F.col("size") - F.col("n_main")).alias("no"))
     x = x.withColumn("block", F.pmod(F.xxhash64("rep", "band"), F.when(F.col("in_main"), F.col("nm")).otherwise(F.col("no"))))
     blocks = x.groupBy("band", "in_main", "block", "nm", "no").agg(
-        F.collect_list("rep").alias("i"), F.collect_list("comp").alias("c"), F.collect_list("regs").alias("r"))
+        F.collect_list("rep").alias("i"), F.collect_list("comp").alias("c"), F.collect_list("regs").alias("r"),
+        F.collect_list("n").alias("n"), F.collect_list("shared").alias("s"))
     zero = F.lit(0).cast("long")
     met = F.concat(
         F.transform(F.sequence(F.col("block"), F.col("no") - 1), lambda t: F.struct(F.lit(False).alias("in_main"), t.alias("block"))),
         F.transform(F.sequence(zero, F.col("nm") - 1), lambda t: F.struct(F.lit(True).alias("in_main"), t.alias("block"))))
     one = blocks.filter("not in_main").select("band", F.col("block").alias("of"), F.explode(met).alias("t"),
-                                              F.col("i").alias("ia"), F.col("c").alias("ca"), F.col("r").alias("ra")) \
-        .select("band", "of", "t.in_main", "t.block", "ia", "ca", "ra")
+                                              F.col("i").alias("ia"), F.col("c").alias("ca"), F.col("r").alias("ra"),
+                                              F.col("n").alias("na"), F.col("s").alias("sa")) \
+        .select("band", "of", "t.in_main", "t.block", "ia", "ca", "ra", "na", "sa")
     last = F.when(F.col("in_main"), F.col("no") - 1).otherwise(F.col("block"))
     two = blocks.select("band", F.explode(F.sequence(zero, last)).alias("of"), "in_main", "block",
-                        F.col("i").alias("ib"), F.col("c").alias("cb"), F.col("r").alias("rb"))
-    return one.join(two, ["band", "of", "in_main", "block"]).select("band", "ia", "ca", "ra", "ib", "cb", "rb") \
-        .mapInArrow(_cross_batches(bound), "a long, b long").distinct()
+                        F.col("i").alias("ib"), F.col("c").alias("cb"), F.col("r").alias("rb"),
+                        F.col("n").alias("nb"), F.col("s").alias("sb"))
+    return one.join(two, ["band", "of", "in_main", "block"]) \
+        .select("band", "ia", "ca", "ra", "na", "sa", "ib", "cb", "rb", "nb", "sb") \
+        .mapInArrow(_cross_batches(bound, percent), "a long, b long").distinct()
