@@ -1,8 +1,7 @@
 """Joins (D1-D8): lookups, membership, period comparison, duplicates, erasure, orphans.
 
-Broadcast is used only behind ``small_side``: a bounded ``limit(n+1).count()``
-proves the side has at most ``n`` rows, otherwise the plain frame is returned
-and the planner shuffles (or AQE broadcasts once runtime sizes are known).
+No side is forced to be broadcast by its row count: the planner and adaptive
+execution choose by bytes.
 """
 
 from __future__ import annotations
@@ -17,21 +16,16 @@ from tallyspark.functions.columns import keys
 from tallyspark.operators.filters import period_predicate
 from tallyspark.schema import EXPENSE
 
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` if it provably has at most ``max_rows`` rows, else ``df``."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def enrich(ledger: DataFrame, users: DataFrame, households: DataFrame) -> DataFrame:
-    """Ledger rows with username, role, household id and name."""
+    """Ledger rows with username, role, household id and name.
+
+    Which side is broadcast is left to the planner and adaptive execution, which go by bytes.
+    """
     u = users.select("user_id", "username", "role", "household_id")
-    h = small_side(households.select("household_id", F.col("name").alias("household_name")))
+    h = households.select("household_id", F.col("name").alias("household_name"))
     uh = u.join(h, "household_id", "left")
-    return ledger.join(small_side(uh), "user_id", "inner")
+    return ledger.join(uh, "user_id", "inner")
 
 
 def ledger_for_users(ledger: DataFrame, users: DataFrame) -> DataFrame:

@@ -242,11 +242,17 @@ def stream_alerts(sdf: DataFrame, delay: str = "30 days", factor: float = WEEKLY
 
 # ------------------------------------------------------------------ running
 def run_available(sdf: DataFrame, checkpoint: str, writer, output_mode: str = "append",
-                  timeout_s: int = 600) -> None:
-    """Process everything available now, then stop (replay / batch-style runs)."""
+                  timeout_s: int | None = None) -> None:
+    """Process everything available now, then stop (replay / batch-style runs).
+
+    Waits without a limit unless the caller gives one.
+    """
     q = (sdf.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
          .foreachBatch(writer).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
+    if timeout_s is None:
+        q.awaitTermination()
+    else:
+        q.awaitTermination(timeout_s)
     if q.isActive:
         q.stop()
         raise TimeoutError("stream did not drain in time")

@@ -10,7 +10,7 @@ from tallyspark.operators import ordered as E
 from tallyspark.operators import relate as Rel
 from tallyspark.operators import rollups as C
 from tallyspark.plans import registry
-from tallyspark.sources.testdata import ledger, users
+from tallyspark.sources.testdata import households, ledger, users
 
 
 def plan(df) -> str:
@@ -54,12 +54,9 @@ def test_monthly_rollup_has_partial_aggregation(spark):
     assert p.count("HashAggregate") >= 2 and "partial_sum" in p
 
 
-def test_small_side_broadcast_is_size_checked(spark):
-    u = users(spark, SF_SMALL)
-    assert "ResolvedHint" in Rel.small_side(u, max_rows=10_000)._jdf.queryExecution().analyzed().toString() \
-        or "broadcast" in Rel.small_side(u, max_rows=10_000)._jdf.queryExecution().logical().toString().lower()
-    big = Rel.small_side(u, max_rows=10)
-    assert "broadcast" not in big._jdf.queryExecution().logical().toString().lower()
+def test_enrich_forces_no_broadcast(spark):
+    df = Rel.enrich(ledger(spark, SF_SMALL), users(spark, SF_SMALL), households(spark, SF_SMALL))
+    assert "ResolvedHint" not in df._jdf.queryExecution().analyzed().toString()
 
 
 REDUCERS = ("HashAggregate", "TakeOrderedAndProject", "WindowGroupLimit", "GlobalLimit", "LocalLimit",
