@@ -23,7 +23,7 @@ from pyspark.ml.feature import (IDF, ElementwiseProduct, HashingTF, IndexToStrin
                                 RegexTokenizer, SQLTransformer, StringIndexer)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.operators.filters import labelled_notes
@@ -89,16 +89,23 @@ def evaluate_category(model: PipelineModel, df: DataFrame) -> DataFrame:
 def suggest_categories(model: PipelineModel, df: DataFrame, n: int = 3, key: str = "tx_id") -> DataFrame:
     """The ``n`` most probable categories per row, with their probabilities."""
     labels = [s for s in model.stages if s.__class__.__name__ == "StringIndexerModel"][0].labels
-    p = predict_category(model, df).select(key, F.posexplode(vector_to_array("probability")).alias("cls", "probability"))
-    w = Window.partitionBy(key).orderBy(F.col("probability").desc(), F.col("cls"))
-    lab = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("cls") + 1)
-    return (p.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
-            .select(key, "rank", lab.alias("category"), "probability"))
+    p = predict_category(model, df)
+    pairs = F.transform(vector_to_array("probability"), lambda x, i: F.struct((-x).alias("low"), i.alias("cls")))
+    top = p.select(key, F.posexplode(F.slice(F.array_sort(pairs), 1, n)).alias("pos", "t"))
+    lab = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("t.cls") + 1)
+    return top.select(key, (F.col("pos") + 1).alias("rank"), lab.alias("category"), (-F.col("t.low")).alias("probability"))
 
 
 def resolve_with_model(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Typed category, else the model's suggestion for the note, else ``uncategorized``."""
+    """Typed category, else the model's suggestion for the note, else ``uncategorized``.
+
+    Predicted in place, without a join, so repeated ids stay single rows.
+    """
     from tallyspark.operators.filters import resolve_category
-    need = df.filter(F.col("note").isNotNull()).select("tx_id", "note")
-    pred = predict_category(model, need).select("tx_id", "predicted")
-    return resolve_category(df.join(pred, "tx_id", "left")).drop("predicted")
+    has_note = F.col("note").isNotNull()
+    rows = df.withColumns({"typed_category": F.col("category"), "category": F.lit(None).cast("string"),
+                           "has_note": has_note, "note": F.coalesce("note", F.lit(""))})
+    p = predict_category(model, rows).withColumns({
+        "category": F.col("typed_category"), "predicted": F.when(F.col("has_note"), F.col("predicted")),
+        "note": F.when(F.col("has_note"), F.col("note"))})
+    return resolve_category(p).select(df.columns)
