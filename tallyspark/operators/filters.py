@@ -104,6 +104,12 @@ def period_bounds(p: str, as_of: _dt.date) -> tuple[Column, Column]:
     return bounds[p]
 
 
+def period_months(p: str, as_of: _dt.date, col: str = "tx_month") -> Column:
+    """The ``tx_month`` bound of a named period, for partition pruning on a stored ledger."""
+    lo, hi = period_bounds(p, as_of)
+    return F.col(col).between(month_label(lo), month_label(F.date_sub(hi, 1)))
+
+
 def period(df: DataFrame, p: str, as_of: _dt.date) -> DataFrame:
     """Rows of this/last month (January wraps) or this/last year."""
     lo, hi = period_bounds(p, as_of)
@@ -119,6 +125,8 @@ def multi_filter(df: DataFrame, categories: Sequence[str] | None = None,
     if date_range:
         lo, hi = date_range
         df = df.filter(F.col("tx_date").between(F.lit(lo), F.lit(hi)))
+        if "tx_month" in df.columns:
+            df = df.filter(F.col("tx_month").between(f"{lo:%Y-%m}", f"{hi:%Y-%m}"))
     if types:
         df = df.filter(F.coalesce(F.col("t_type"), F.lit("")).isin(list(types)))
     return df

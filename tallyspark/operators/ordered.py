@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.columns import cents, keys, ratio
+from tallyspark.functions.columns import keys, ratio
 from tallyspark.operators.rollups import monthly_in_out, monthly_total, weekly_total
 from tallyspark.schema import EXPENSE, INCOME, TREND_MONTHS, WEEKLY_ALERT_FACTOR
 
@@ -125,14 +125,27 @@ def transparency_sample(df: DataFrame, by: Sequence[str] | None = None, n: int =
 
 # ---- H1 / H2: least squares on the month index, closed form ----
 
+def _exact_sum(c: F.Column) -> F.Column:
+    """Sum of integers as decimal(38,0): a whole-ledger fit passes the range of a bigint."""
+    return F.sum(c.cast("decimal(38,0)"))
+
+
+def _exact_product_sum() -> F.Column:
+    return _exact_sum(F.col("x").cast("decimal(9,0)") * F.col("y").cast("decimal(28,0)"))
+
+
+def _cents_exact(c: str) -> F.Column:
+    return (F.col(c) * 100).cast("decimal(28,0)")
+
+
 def _fit(series: DataFrame, k: list[str], value: str) -> DataFrame:
-    """Per key: n, sums of x, x^2, y, xy with y in integer cents (exact)."""
+    """Per key: n, sums of x, x^2, y, xy with y in whole cents (exact)."""
     w = _w(k).orderBy("month")
     s = (series.withColumn("x", (F.row_number().over(w) - 1).cast("bigint"))
-         .withColumn("y", cents(value)))
+         .withColumn("y", _cents_exact(value)))
     return s.groupBy(*k).agg(
         F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"),
-        F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"),
+        _exact_sum(F.col("y")).alias("sy"), _exact_product_sum().alias("sxy"),
         F.max("month").alias("last_month"),
         F.max_by("y", "month").alias("y_last"))
 
@@ -162,7 +175,8 @@ def project(df: DataFrame, by: Sequence[str] | None = None, periods: int = 6) ->
     """H2: history plus ``periods`` projected months of income and expense.
 
     Each type is fitted over the key's zero-filled month x type matrix; a type
-    is projected only when the key has more than one month.  History and fit
+    is returned only when the key has more than one month and some amount of
+    that type (a type the key never had is left out).  History and fit
     come from one window pass over the (key, type, month) rows, so both
     branches of the union share its exchange.
     """
@@ -175,12 +189,13 @@ def project(df: DataFrame, by: Sequence[str] | None = None, periods: int = 6) ->
     kt = k + ["t_type"]
     s = (long.withColumn("x", (F.row_number().over(_w(kt).orderBy("month")) - 1).cast("bigint"))
          .withColumn("n_all", F.count(F.lit(1)).over(_w(kt)))
-         .filter(F.col("n_all") > 1)
-         .withColumn("y", cents("v")))
+         .withColumn("held", F.max(F.col("v") != 0).over(_w(kt)))
+         .filter((F.col("n_all") > 1) & F.col("held"))
+         .withColumn("y", _cents_exact("v")))
     hist = s.select(*kt, "month", F.col("v").cast("double").alias("value"), F.lit(False).alias("is_forecast"))
     fit = s.groupBy(*kt).agg(
         F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"),
-        F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"), F.max("month").alias("last_month"))
+        _exact_sum(F.col("y")).alias("sy"), _exact_product_sum().alias("sxy"), F.max("month").alias("last_month"))
     fut = (fit.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(periods))))
            .select(*kt,
                    F.date_format(F.add_months(F.to_date(F.concat(F.col("last_month"), F.lit("-01"))), F.col("j")),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.columns import keys
-from tallyspark.operators.filters import period_predicate
+from tallyspark.operators.filters import period_months, period_predicate
 from tallyspark.schema import EXPENSE
 
 
@@ -48,11 +48,14 @@ def compare_periods(df: DataFrame, p1: str, p2: str, as_of: _dt.date,
     """D3: expense per category in two named periods; 0 where a period lacks it.
 
     One pass with conditional sums; the group set is the union of both
-    periods' categories (a full outer join of the two rollups).
+    periods' categories (a full outer join of the two rollups).  On a stored
+    ledger only the months of the two periods are read.
     """
     k = keys(by)
     in1, in2 = period_predicate(p1, as_of), period_predicate(p2, as_of)
     zero = F.lit(0).cast("decimal(28,2)")
+    if "tx_month" in df.columns:
+        df = df.filter(period_months(p1, as_of) | period_months(p2, as_of))
     return (df.filter((F.col("t_type") == EXPENSE) & F.col("category").isNotNull() & (in1 | in2))
             .groupBy(*k, "category")
             .agg(F.coalesce(F.sum(F.when(in1, F.col("amount"))), zero).alias("period1_total"),
@@ -107,5 +110,5 @@ def uniqueness_violations(df: DataFrame, col: str) -> DataFrame:
 def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str | None = None) -> DataFrame:
     """Child rows whose non-null key has no parent row."""
     pk = parent_key or key
-    p = parent.select(F.col(pk).alias("_pk")).distinct()
+    p = parent.select(F.col(pk).alias("_pk"))
     return child.filter(F.col(key).isNotNull()).join(p, F.col(key) == F.col("_pk"), "left_anti")

@@ -22,14 +22,14 @@ from tallyspark.operators import ordered as E
 from tallyspark.operators import quality as Q
 from tallyspark.operators import text as T
 from tallyspark.operators.filters import display_format
+from tallyspark.operators.rollups import expense_categories
 from tallyspark.plans.report import insight_report
 from tallyspark.schema import ENGLISH_STOP_WORDS
 from tallyspark.session import checkpoint_dir
 from tallyspark.sources import files as A
-from tallyspark.sources.testdata import audit_events, ledger, notes, table
+from tallyspark.sources.testdata import audit_events, ledger, notes, source_key, table
 
 AS_OF = "2001-08-01"
-EXPENSE_CATS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 DEMO_KEY = "0123456789abcdef"  # test-only AES key; real keys come from configuration
 
 
@@ -47,11 +47,11 @@ def _fitted(spark: SparkSession, d: str, kind: str, part: str):
     Fitted models are small driver-side objects; several registered queries
     apply the same model, as the reference keeps one loaded model per agent.
     """
-    key = (id(spark), spark.sparkContext.applicationId, d, kind, part)
+    key = (id(spark), spark.sparkContext.applicationId, source_key(spark, d), kind, part)
     if key not in _MODELS:
         data = _split(spark, d)[0] if part == "train" else ledger(spark, d)
         fit = {"category": H8.fit_category, "anomaly": H5.fit_anomaly,
-               "budget": lambda df: H10.fit_budget(df, EXPENSE_CATS), "expense": H3.fit_expense}[kind]
+               "budget": lambda df: H10.fit_budget(df, expense_categories(df)), "expense": H3.fit_expense}[kind]
         _MODELS[key] = fit(data)
     return _MODELS[key]
 
@@ -134,7 +134,7 @@ def q_budget_clusters(spark, d):
     train, _ = _split(spark, d)
     m = _fitted(spark, d, "budget", "train")
     from tallyspark.operators.rollups import category_matrix
-    return H10.assign_clusters(m, category_matrix(train, EXPENSE_CATS, by=[])).select("month", "cluster", "advice")
+    return H10.assign_clusters(m, category_matrix(train, m.categories, by=[])).select("month", "cluster", "advice")
 
 
 def q_budget_advice(spark, d):

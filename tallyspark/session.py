@@ -44,12 +44,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and materialised tables.
 
-    Read from ``spark.checkpoint.dir``; only when the session has none (local
-    tests) a fresh scratch folder is made and registered.
+    Read from ``spark.checkpoint.dir``.  A session without one gets a fresh
+    scratch folder only where driver and executors are one process (``local``
+    masters); on a cluster, where each worker has its own disk, it is an error.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a folder shared by all workers is needed")
         d = tempfile.mkdtemp(prefix="tallyspark-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)

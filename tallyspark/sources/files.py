@@ -54,31 +54,41 @@ def _as_ledger(df: DataFrame, default_user: int | None = None) -> DataFrame:
 def read_ledger_csv(spark: SparkSession, paths: str | Sequence[str], user_id: int | None = None) -> DataFrame:
     """A1: ledger CSV files with a header, any column order, CRLF or LF.
 
-    Every file is read as text columns by its own header, then aligned by name
-    (``unionByName(allowMissingColumns=True)``) and cast.
+    Every path is read as text columns by its own header, then aligned by name
+    (``unionByName(allowMissingColumns=True)``) and cast.  Files below one path
+    must agree in their header: with ``enforceSchema`` off, Spark raises an
+    error where one differs instead of taking columns by position; give such
+    files as paths of their own.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    frames = [spark.read.option("header", True).option("inferSchema", False).csv(p) for p in paths]
+    frames = [spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(p)
+              for p in paths]
     df = frames[0]
     for f in frames[1:]:
         df = df.unionByName(f, allowMissingColumns=True)
     return _as_ledger(df, user_id)
 
 
-RECORD_SCHEMA = T.StructType([
-    T.StructField("date", T.StringType()), T.StructField("type", T.StringType()),
-    T.StructField("amount", T.StringType()), T.StructField("category", T.StringType()),
-    T.StructField("note", T.StringType()),
-])
+RECORD_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in [*LEDGER_SCHEMA.names, *LEDGER_ALIASES]])
+JSON_SCHEMA = T.StructType([*RECORD_SCHEMA.fields, T.StructField("transactions", T.ArrayType(RECORD_SCHEMA))])
 
 
 def read_ledger_json(spark: SparkSession, path: str, user_id: int | None = None) -> DataFrame:
-    """A3: JSON records, either one record per line or ``{"transactions": [...]}`` payloads."""
-    raw = spark.read.option("primitivesAsString", True).json(path)
-    if "transactions" in raw.columns:
-        raw = (spark.read.schema(T.StructType([T.StructField("transactions", T.ArrayType(RECORD_SCHEMA))]))
-               .json(path).select(F.explode("transactions").alias("t")).select("t.*"))
-    return _as_ledger(raw, user_id)
+    """A3: JSON lines, each a record or a ``{"transactions": [...]}`` payload, in any mixture.
+
+    One pass with one explicit schema.  A record's own user wins over
+    ``user_id``; a record without an id gets the hash of its content.
+    """
+    raw = spark.read.schema(JSON_SCHEMA).json(path)
+    record = F.struct(*RECORD_SCHEMA.names)
+    raw = raw.select(F.explode(F.coalesce("transactions", F.array(record))).alias("t"))
+    named = [F.coalesce(F.col(f"t.{b}"), F.col(f"t.{a}")).alias(b) for a, b in LEDGER_ALIASES.items()]
+    rest = [F.col(f"t.{c}") for c in LEDGER_SCHEMA.names if c not in LEDGER_ALIASES.values()]
+    rows = raw.select(*named, *rest, F.sha2(F.to_json("t"), 256).alias("_hash"))
+    rows = rows.withColumn("tx_id", F.coalesce("tx_id", "_hash"))
+    if user_id is not None:
+        rows = rows.withColumn("user_id", F.coalesce("user_id", F.lit(str(user_id))))
+    return _as_ledger(rows.drop("_hash"))
 
 
 def export_users(users: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ see bit-equal rows.
 from __future__ import annotations
 
 import hashlib
-import os
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,16 +21,25 @@ from tallyspark.session import checkpoint_dir
 
 
 # DataFrames over immutable inputs, per session: the file listing and footer
-# read happen once, not once per query.  Keys include size and mtime.
+# read happen once, not once per query.  Keys include size and time of every file.
 _FRAMES: dict[tuple, DataFrame] = {}
 
 
-def _file_id(path: str) -> str:
-    try:
-        st = os.stat(path)
-        return f"{st.st_size}:{st.st_mtime_ns}"
-    except OSError:
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _file_id(spark: SparkSession, path: str) -> str:
+    """Digest of path, length and modification time of every file below ``path``, on any file system."""
+    p, fs = _hadoop(spark, path)
+    if not fs.exists(p):
         return ""
+    files, it = [], fs.listFiles(p, True)
+    while it.hasNext():
+        f = it.next()
+        files.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(files)).encode()).hexdigest()
 
 
 _LOCK = threading.RLock()  # one builder per process; re-entrant: a build reads its source tables
@@ -49,7 +58,7 @@ def _remember(spark: SparkSession, key: tuple, make) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
-    return _remember(spark, ("table", path, _file_id(path)), lambda: spark.read.parquet(path))
+    return _remember(spark, ("table", path, _file_id(spark, path)), lambda: spark.read.parquet(path))
 
 
 def ledger_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,17 +102,25 @@ def ledger_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LEDGER_COLUMNS = ["tx_id", "user_id", "t_type", "category", "amount", "tx_date", "note"]
 _SOURCES = ("orders", "lineitem", "part")
-LEDGER_FORMAT = 1  # bump when the ledger definition changes: stored copies are keyed by it
+LEDGER_FORMAT = 2  # bump when the ledger definition changes: stored copies are keyed by it
 
 
-def _source_key(sf_dir: str) -> str:
-    """Identity of the source tables: path plus size and mtime of each local file."""
-    parts = [sf_dir, f"v{LEDGER_FORMAT}"] + [f"{t}:{_file_id(f'{sf_dir}/{t}.parquet')}" for t in _SOURCES]
+def source_key(spark: SparkSession, sf_dir: str, sources: tuple[str, ...] = _SOURCES) -> str:
+    """Identity of the source tables: path, length and modification time of every file."""
+    parts = [sf_dir, f"v{LEDGER_FORMAT}"] + [f"{t}:{_file_id(spark, f'{sf_dir}/{t}.parquet')}" for t in sources]
     return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
 
 def stored_ledger_path(spark: SparkSession, sf_dir: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/tally-ledger-{_source_key(sf_dir)}"
+    """Folder of the stored copies; every build writes to its own ``build-*`` folder below it."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/tally-ledger-{source_key(spark, sf_dir)}"
+
+
+def finished_build(spark: SparkSession, path: str) -> str | None:
+    """The first finished build below ``path`` (one whose job committed its ``_SUCCESS`` marker), else None."""
+    p, fs = _hadoop(spark, f"{path}/build-*/_SUCCESS")
+    done = sorted(f.getPath().getParent().toString() for f in fs.globStatus(p) or [])
+    return done[0] if done else None
 
 
 def ledger(spark: SparkSession, sf_dir: str, with_month: bool = False) -> DataFrame:
@@ -112,18 +129,17 @@ def ledger(spark: SparkSession, sf_dir: str, with_month: bool = False) -> DataFr
     The three-way join runs once; every operator after it scans one narrow
     table, partitioned by ``tx_month`` and sorted by user and date inside the
     files, so date filters prune partitions/row groups.  ``with_month`` keeps
-    the partition column for callers that filter on it.
+    the partition column for callers that filter on it.  A build that never
+    finished is ignored, and two builders at once do not touch each other's
+    files.
     """
-    from pyspark.errors import AnalysisException
     from tallyspark.sources.files import read_ledger_parquet, store_ledger
     path = stored_ledger_path(spark, sf_dir)
 
     def load() -> DataFrame:
-        try:
-            return read_ledger_parquet(spark, path)
-        except AnalysisException:
-            store_ledger(ledger_view(spark, sf_dir), path)
-            return read_ledger_parquet(spark, path)
+        if finished_build(spark, path) is None:
+            store_ledger(ledger_view(spark, sf_dir), f"{path}/build-{uuid.uuid4().hex[:12]}")
+        return read_ledger_parquet(spark, finished_build(spark, path))
 
     df = _remember(spark, ("ledger", path), load)
     return df if with_month else df.select(*LEDGER_COLUMNS)

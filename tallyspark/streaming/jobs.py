@@ -17,8 +17,12 @@ replaces its own output (exactly-once together with the checkpoint).
 * J6 ``stream_alerts``     per-user running balance and weekly alert kept in
   state (``applyInPandasWithState``); weeks older than the watermark are
   folded into a sum and a count, so state per user stays a few numbers.
-  Rows whose week closed before the current watermark are dropped (Spark's
-  own operators, J5, use the previous batch's watermark: one batch later).
+  Rows are summed per (user, week) inside their task before the shuffle, so a
+  user with a large share of a batch sends a few rows.  The balance holds every
+  row, late and undated ones too; a row whose week closed before the current
+  watermark no longer changes the weekly figures (Spark's own operators, J5,
+  use the previous batch's watermark: one batch later).  A null amount counts
+  as nothing.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,9 +91,13 @@ def write_split(good_path: str, quarantine_path: str):
     Batch ``N`` goes to ``.../batch=N`` with overwrite: idempotent on replay.
     """
     def _write(batch: DataFrame, batch_id: int) -> None:
-        batch.filter("valid").drop("valid", "reasons") \
-            .write.mode("overwrite").parquet(f"{good_path}/batch={batch_id}")
-        batch.filter("not valid").write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
+        batch.persist()     # two writers: the batch is read and validated once
+        try:
+            batch.filter("valid").drop("valid", "reasons") \
+                .write.mode("overwrite").parquet(f"{good_path}/batch={batch_id}")
+            batch.filter("not valid").write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
     return _write
 
 
@@ -189,6 +198,18 @@ ALERT_OUTPUT = T.StructType([
 ])
 
 
+WEEK_SUMS = "user_id long, week_day long, signed long, cents long, event_us long"
+
+
+def _sum_weeks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums per (user, week) of every Arrow batch, with the latest event time."""
+    for b in batches:
+        t = pa.Table.from_batches([b]).group_by(["user_id", "week_day"]).aggregate(
+            [("signed", "sum"), ("cents", "sum"), ("event_us", "max")])
+        t = t.rename_columns([c.removesuffix("_sum").removesuffix("_max") for c in t.column_names])
+        yield from t.select(["user_id", "week_day", "signed", "cents", "event_us"]).to_batches()
+
+
 def _alerts_fn(factor: float):
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (user_id,) = key
@@ -199,12 +220,11 @@ def _alerts_fn(factor: float):
             bal, fsum, fcnt, weeks = 0, 0, 0, {}
         wm = state.getCurrentWatermarkMs()
         for pdf in batches:
-            if wm and wm > 0:   # late rows: their week closed before the watermark (J5 drops them too)
-                pdf = pdf[pdf["week_day"] * DAY_MS + WEEK_MS > wm]
-            cents = pdf["cents"].astype("int64")
-            sign = pdf["t_type"].map({INCOME: 1, EXPENSE: -1}).fillna(0).astype("int64")
-            bal += int((cents * sign).sum())
-            wk = pdf.dropna(subset=["week_day"]).groupby("week_day")["cents"].sum()
+            bal += int(pdf["signed"].sum())     # every row, however late, dated or not
+            dated = pdf.dropna(subset=["week_day"])
+            if wm and wm > 0:   # weeks that closed before the watermark stay as they are (J5 too)
+                dated = dated[dated["week_day"] * DAY_MS + WEEK_MS > wm]
+            wk = dated.groupby("week_day")["cents"].sum()
             for w, c in wk.items():
                 weeks[int(w)] = weeks.get(int(w), 0) + int(c)
         # fold weeks that closed before the watermark, keeping the newest week open
@@ -232,10 +252,13 @@ def _alerts_fn(factor: float):
 
 def stream_alerts(sdf: DataFrame, delay: str = "30 days", factor: float = WEEKLY_ALERT_FACTOR) -> DataFrame:
     """Per user running balance (income - expense) and the weekly alert, in update mode."""
-    rows = sdf.withWatermark("event_ts", delay).select(
-        "user_id", "t_type", "event_ts", "tx_date",
-        (F.col("amount") * 100).cast("bigint").alias("cents"),
-        F.unix_date(week_start("tx_date")).cast("bigint").alias("week_day"))
+    cents = F.coalesce((F.col("amount") * 100).cast("bigint"), F.lit(0).cast("bigint"))
+    sign = F.when(F.col("t_type") == INCOME, 1).when(F.col("t_type") == EXPENSE, -1).otherwise(0)
+    rows = sdf.select(
+        "user_id", F.unix_date(week_start("tx_date")).cast("bigint").alias("week_day"),
+        (cents * sign).alias("signed"), cents.alias("cents"), F.unix_micros("event_ts").alias("event_us"))
+    rows = rows.mapInArrow(_sum_weeks, WEEK_SUMS) \
+        .withColumn("event_ts", F.timestamp_micros("event_us")).drop("event_us").withWatermark("event_ts", delay)
     return rows.groupBy("user_id").applyInPandasWithState(
         _alerts_fn(factor), ALERT_OUTPUT, ALERT_STATE, "update", GroupStateTimeout.NoTimeout)
 

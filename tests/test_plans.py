@@ -89,3 +89,11 @@ def test_no_single_partition_step_over_raw_rows(spark, name):
     p = plan(registry.QUERIES[name](spark, SF_SMALL))
     for below in _single_partition_inputs(p):
         assert any(op.startswith(REDUCERS) for op in below), (name, below[:6])
+
+
+def test_named_periods_and_date_ranges_prune_months(spark):
+    stored = ledger(spark, SF_SMALL, with_month=True)
+    for df in (Rel.compare_periods(stored, "this_month", "last_month", dt.date(2001, 8, 1)),
+               B.multi_filter(stored, None, None, (dt.date(2000, 1, 1), dt.date(2000, 12, 31)))):
+        p = plan(df)
+        assert "PartitionFilters: [" in p and "PartitionFilters: []" not in p

@@ -208,3 +208,14 @@ def test_whole_ledger_key(make_ledger):
     assert len(s) == 1 and s[0]["savings"] == M(6)
     mm = collect(C.mini_metrics(L, by=[]))[0]
     assert mm["top_category"] == "R" and mm["total_amount"] == M(14)
+
+
+def test_forecast_survives_sums_beyond_64_bits(make_ledger):
+    rows = [(f"t{i}", 1, "income", "S", "90000000000000", f"{2000 + i // 12}-{i % 12 + 1:02d}-05") for i in range(84)]
+    r = collect(E.forecast_next(make_ledger(rows)))[0]
+    assert r["n"] == 84 and abs(r["forecast_next_month"] / 9e13 - 1) < 1e-9
+
+
+def test_project_leaves_out_a_type_the_user_never_had(make_ledger):
+    L = make_ledger([("a", 1, "income", "S", 10, "2024-01-05"), ("b", 1, "income", "S", 20, "2024-02-05")])
+    assert {r["t_type"] for r in collect(E.project(L))} == {"income"}

@@ -87,3 +87,43 @@ def test_sensitive_columns_and_mask(spark, make_ledger):
     assert collect(Q.sensitive_columns(users.select("user_id"))) == []
     L = make_ledger([("1", 1, "expense", "A", 5, "2024-01-01", "Card 42")])
     assert collect(Q.masked(L))[0]["note"] == "Xxxx nn"
+
+
+def test_files_of_one_folder_with_different_headers_raise(spark, tmp_path):
+    import pytest
+    (tmp_path / "a.csv").write_text("date,type,amount,category,note\n2024-01-05,income,10,sal,n\n")
+    (tmp_path / "b.csv").write_text("type,category,amount,date,note\nincome,sal,10,2024-01-05,n\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        A.read_ledger_csv(spark, str(tmp_path), user_id=1).collect()
+    both = A.read_ledger_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], user_id=1)
+    assert {(r["t_type"], r["category"], str(r["tx_date"])) for r in both.collect()} == {("income", "sal", "2024-01-05")}
+
+
+def test_json_lines_and_payloads_in_one_file(spark, tmp_path):
+    (tmp_path / "m.json").write_text(
+        '{"date": "2024-01-05", "type": "income", "amount": 10.5, "category": "sal", "note": "a"}\n'
+        '{"transactions": [{"date": "2024-01-06", "type": "expense", "amount": "3", "user_id": 9}, '
+        '{"id": "x", "date": "bad", "type": "expense"}]}\n'
+        '{"transactions": []}\n')
+    rows = A.read_ledger_json(spark, str(tmp_path), user_id=4).collect()
+    got = sorted((r["user_id"], r["t_type"], str(r["amount"]), str(r["tx_date"])) for r in rows)
+    assert got == [(4, "expense", "None", "None"), (4, "income", "10.50", "2024-01-05"), (9, "expense", "3.00", "2024-01-06")]
+    assert {r["tx_id"] for r in rows if r["amount"] is None} == {"x"} and all(r["tx_id"] for r in rows)
+
+
+def test_unfinished_ledger_build_is_ignored_and_a_changed_source_is_seen(spark, tmp_path):
+    import os
+    import shutil
+    from tallyspark.sources import testdata as TD
+    for t in ("orders", "lineitem", "part"):
+        shutil.copyfile(f"/root/testdata/sf0.001/{t}.parquet", tmp_path / f"{t}.parquet")
+    d = str(tmp_path)
+    path = TD.stored_ledger_path(spark, d)
+    whole = TD.ledger_view(spark, d)
+    A.store_ledger(whole.filter("tx_date < date'2000-01-01'"), f"{path}/build-0")   # half the rows, no marker
+    os.remove(path.removeprefix("file:") + "/build-0/_SUCCESS")
+    assert TD.finished_build(spark, path) is None
+    assert TD.ledger(spark, d).count() == whole.count()
+    assert TD.finished_build(spark, path) is not None
+    os.utime(tmp_path / "part.parquet", (1, 1))
+    assert TD.stored_ledger_path(spark, d) != path

@@ -147,7 +147,22 @@ def test_late_rows_beyond_the_watermark_are_dropped(spark, make_ledger):
     w = collect(E.weekly_alert(kept))[0]
     assert a["n_weeks"] == w["n_weeks"] and a["mean_prev"] == w["mean_prev"]
     assert a["last_total"] == float(w["last_total"])
-    assert a["balance"] == -float(collect(kept.agg(F.sum("amount").alias("s")))[0]["s"])
+    whole = kept.unionByName(late)      # the balance holds late rows too
+    assert a["balance"] == -float(collect(whole.agg(F.sum("amount").alias("s")))[0]["s"])
+
+
+def test_alert_balance_holds_undated_rows_and_tolerates_null_amounts(spark, make_ledger):
+    src, ck, out = _dirs(spark)
+    parts = [make_ledger([("a", 1, "income", "S", 100, "2024-01-03"), ("b", 1, "expense", "A", None, "2024-01-04")]),
+             make_ledger([("c", 1, "expense", "A", 30, "2024-03-20"), ("d", 1, "income", "S", 7, None)]),
+             make_ledger([("e", 1, "income", "S", 5, None), ("f", 1, "income", "S", 50, "2024-01-05")])]
+    for p in parts:
+        p.coalesce(1).write.mode("append").parquet(src)
+    sdf = J.stream_alerts(J.read_ledger_stream(spark, src, LEDGER_SCHEMA, max_files_per_trigger=1), delay="8 days")
+    J.run_available(sdf, ck, J.write_batches(out), output_mode="update")
+    a = collect(J.read_latest(spark, out, ["user_id"]))[0]
+    assert a["balance"] == 100 - 30 + 7 + 5 + 50
+    assert a["n_weeks"] == 2 and a["last_total"] == 30.0
 
 
 def test_weekly_stream_labels_do_not_depend_on_session_time_zone(spark, make_ledger):
