@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.columns import keys, ratio
+from tallyspark.operators.filters import fill_category
 from tallyspark.operators.rollups import category_matrix, last_month_matrix
 from tallyspark.schema import ADVICE_MIN_ROWS, EXPENSE
 
@@ -40,6 +41,10 @@ ADVICE_FEW_1 = "Track a few more transactions for tailored budget advice."
 ADVICE_FEW_2 = "Tip: Categorize your expenses to see where your money goes."
 ADVICE_FEW_AVG = "Your average transaction so far is ${avg}."
 ADVICE_NO_EXPENSE = "📌 No expenses recorded yet. Try setting a starter budget for essentials and savings."
+ADVICE_NO_MODEL = "⚠ No trained model found. Train the model before requesting recommendations."
+ADVICE_FALLBACK_1 = "No specific recommendations at this time. Keep tracking your spending!"
+ADVICE_FALLBACK_2 = "Tip: Review your top expense categories for potential savings."
+ADVICE_FALLBACK_AVG = "Your average transaction is ${avg}."
 
 
 @dataclass
@@ -111,29 +116,46 @@ def assign_clusters(model: BudgetModel, matrix: DataFrame) -> DataFrame:
         .withColumnRenamed("prediction", "cluster")
 
 
-def budget_advice(model: BudgetModel, df: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
-    """Advice per key.
+def _with_average(text: str) -> F.Column:
+    """``text`` with ``{avg}`` replaced by the mean amount (0.00 without any amount)."""
+    before, after = text.split("{avg}")
+    return F.concat(F.lit(before), F.format_string("%.2f", F.coalesce("avg_amount", F.lit(0.0))), F.lit(after))
 
-    Fewer than 10 rows: starter tips with the mean amount.  Otherwise the
-    cluster text of the last month with expenses; keys without expenses get
-    the starter-budget text.  Categories the model never saw are counted in
+
+def budget_advice(model: BudgetModel | None, df: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
+    """Advice per key; missing categories count as ``Uncategorized``.
+
+    Fewer than 10 rows: starter tips with the mean amount.  Without a model
+    (None): the text that says so.  Keys without expenses get the
+    starter-budget text; a last month without an amount in any category the
+    model knows gets the fallback tips; otherwise the cluster text of that
+    month.  Categories the model never saw are counted in
     ``unseen_categories`` and left out of the vector.
     """
     k = keys(by)
+    df = fill_category(df)
     counts = df.groupBy(*k).agg(F.count(F.lit(1)).alias("n_rows"),
                                 ratio(F.sum("amount"), F.count("amount")).alias("avg_amount"))
+    few = F.array(F.lit(ADVICE_FEW_1), F.lit(ADVICE_FEW_2), _with_average(ADVICE_FEW_AVG))
+    if model is None:
+        recs = F.when(F.col("n_rows") < ADVICE_MIN_ROWS, few).otherwise(F.array(F.lit(ADVICE_NO_MODEL)))
+        return counts.select(*k, "n_rows", F.lit(None).cast("string").alias("month"),
+                             F.lit(None).cast("int").alias("cluster"), recs.alias("recommendations"),
+                             F.lit(0).cast("long").alias("unseen_categories"))
     last = last_month_matrix(df, model.categories, by)
-    assigned = assign_clusters(model, last).select(*k, "month", "cluster", "advice")
+    known = F.lit(False)
+    for c in model.categories:
+        known = known | (F.col(f"`{c}`") != 0)
+    assigned = assign_clusters(model, last).select(*k, "month", "cluster", "advice", known.alias("known"))
     seen = F.array(*[F.lit(c) for c in model.categories])
     unseen = (df.filter((F.col("t_type") == EXPENSE) & F.col("category").isNotNull()
                         & ~F.array_contains(seen, F.col("category")))
               .groupBy(*k).agg(F.countDistinct("category").alias("unseen_categories")))
     j = counts.join(assigned, on=k, how="left").join(unseen, on=k, how="left")
-    few = F.array(F.lit(ADVICE_FEW_1), F.lit(ADVICE_FEW_2),
-                  F.concat(F.lit("Your average transaction so far is $"),
-                           F.format_string("%.2f", F.col("avg_amount")), F.lit(".")))
+    fallback = F.array(F.lit(ADVICE_FALLBACK_1), F.lit(ADVICE_FALLBACK_2), _with_average(ADVICE_FALLBACK_AVG))
     recs = (F.when(F.col("n_rows") < ADVICE_MIN_ROWS, few)
             .when(F.col("advice").isNull(), F.array(F.lit(ADVICE_NO_EXPENSE)))
+            .when(~F.col("known"), fallback)
             .otherwise(F.array(F.col("advice"))))
     return j.select(*k, "n_rows", "month", "cluster", recs.alias("recommendations"),
                     F.coalesce("unseen_categories", F.lit(0).cast("long")).alias("unseen_categories"))

@@ -157,6 +157,7 @@ QUERIES = {
     "labelled_notes": lambda s, d: B.labelled_notes(_L(s, d)),
     "audit_view": lambda s, d: B.audit_view(_L(s, d)),
     "validate_accounts": lambda s, d: B.validate_accounts(users(s, d), households(s, d))[0],
+    "validate_households": lambda s, d: B.validate_accounts(users(s, d), households(s, d))[1],
     "coerce_role": lambda s, d: B.coerce_role(users(s, d)),
     "keyword_series": lambda s, d: B.keyword_series(_L(s, d)),
     "set_role": lambda s, d: B.set_role(users(s, d), PROMOTED_USERS, "admin"),
@@ -489,6 +490,8 @@ ORACLE_SQL = {
                case when length(note) > 50 then substring(note, 1, 50) || '...' else note end note_short from ledger""",
     "validate_accounts": _with("users") + """
         select *, coalesce(regexp_full_match(username, '^[A-Za-z0-9_]{3,20}$'), false) username_ok from users""",
+    "validate_households": _with("households") + """
+        select *, coalesce(length(trim(name)) between 1 and 30, false) name_ok from households""",
     "coerce_role": _with("users") + """
         select user_id, username,
                case when lower(trim(role)) in ('admin', 'user') then lower(trim(role)) else 'user' end role,

@@ -112,6 +112,13 @@ def test_budget_clusters_and_advice(make_ledger):
     few = make_ledger([("x", 2, "expense", "Food", 3, "2024-01-01")])
     adv2 = collect(Bu.budget_advice(m, few))[0]
     assert adv2["recommendations"][-1] == "Your average transaction so far is $3.00."
+    # a last month without any category the model knows, and no model at all
+    other = make_ledger([(f"y{i}", 3, "expense", None if i % 2 else "Boats", 4, "2024-05-01") for i in range(12)])
+    adv3 = collect(Bu.budget_advice(m, other))[0]
+    assert adv3["recommendations"] == [Bu.ADVICE_FALLBACK_1, Bu.ADVICE_FALLBACK_2, "Your average transaction is $4.00."]
+    assert adv3["unseen_categories"] == 2
+    assert collect(Bu.budget_advice(None, other))[0]["recommendations"] == [Bu.ADVICE_NO_MODEL]
+    assert collect(Bu.budget_advice(None, few))[0]["recommendations"][0] == Bu.ADVICE_FEW_1
 
 
 def test_exact_percentile_matches_numpy():
