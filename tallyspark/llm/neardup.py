@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # groups that still hold several components: compare across them, in blocks
     comp = F.coalesce(F.col("component"), F.col("rep"))
     m = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", comp.alias("comp"))
-    m = stored(m.join(_divided(m).select("band"), "band"), "divided")
+    m = stored(m.join(_divided(m).filter("size > 2").select("band"), "band"), "divided")    # two are hub and member
     m = m.join(_linkable(sets.join(m.select("rep").distinct(), "rep", "left_semi"), percent), "rep")
     rest = m.join(_divided(m), "band").join(regs, "rep")
     more = stored(_confirmed(_across(rest, bound, percent), sets, percent), "links")
@@ -284,11 +284,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _divided(m: DataFrame) -> DataFrame:
-    """(band, main, n_main, size) of the groups of three or more that hold several components."""
+    """(band, main, n_main, size) of the groups that hold several components."""
     c = m.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(
         F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("size"), F.count(F.lit(1)).alias("comps"))
-    return c.filter("comps > 1 and size > 2").select("band", F.col("top.comp").alias("main"),
-                                                     F.col("top.k").alias("n_main"), "size")
+    return c.filter("comps > 1").select("band", F.col("top.comp").alias("main"), F.col("top.k").alias("n_main"), "size")
 
 
 def _code_rows(batches):

@@ -323,6 +323,17 @@ def test_near_duplicates_against_brute_force(spark, odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_pair_left_of_a_template_group_is_compared(spark):
+    """The hub and the others of every group leave for their own shingles; the two that remain are near copies."""
+    for percent, common, own, more in ((80, 94, 10, 24), (85, 124, 10, 22)):
+        line = " ".join(f"t{i}" for i in range(common))
+        rows = [(g, f"{line} " + " ".join(f"o{g}x{i}" for i in range(more if g < 40 else own))) for g in range(42)]
+        d = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in
+               neardup.near_duplicates(d, percent=percent).collect()}
+        assert got == _brute(rows, percent) and got[41][1] == 40
+
+
 # ---- 10 personal data
 def _base(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
