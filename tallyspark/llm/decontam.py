@@ -13,7 +13,9 @@ Method, for the benchmark in blocks of ``BLOCK_ITEMS`` items (a stated query set
   4. Cosine search: windows of ``WINDOW`` words, half a window apart, of every
      document are compared with all items in the latent space; the window's
      norm is its full TF-IDF norm, so one shared rare word is no match.
-  5. Candidates with cosine ``MIN_COSINE`` or more are checked by the longest common
+  5. Candidates with cosine ``MIN_COSINE`` or more, and windows that hold ``MIN_SHARE``
+     of an item's own terms, however frequent these are and whatever stands beside
+     them, are checked by the longest common
      subsequence of words around the window: contaminated from ``LCS_SURE`` of the
      item's words, or from ``LCS_LIKELY`` if the answer, the item's last sentence,
      is found by ``ANSWER`` of its words.
@@ -45,6 +47,7 @@ MIN_TERMS = 8
 EXTRA_DIMS = 16             # latent dimensions beyond the number of items
 ITEM_WEIGHT = 100.0
 MIN_COSINE = 0.3
+MIN_SHARE = 0.3             # two windows and a half hold any 64 words, so one has a third of their terms
 LCS_SURE, LCS_LIKELY, ANSWER = 0.75, 0.6, 0.75
 MAX_ITEM_WORDS = 4096       # longer items are searched by pieces of this many words
 
@@ -216,7 +219,7 @@ def _search_batches(bc):
     half = WINDOW // 2
 
     def run(batches):
-        weight, index, similarity, items = bc.value
+        weight, index, similarity, (own_off, own_item, own_share), items = bc.value
         for b in batches:
             t, off = _flat(b)
             names = b.column(0).to_pylist()
@@ -239,9 +242,16 @@ def _search_batches(bc):
                 pair_dot[:-1][next_to] += dot[1:][next_to]
                 pair_norm = norm.copy()
                 pair_norm[:-1][next_to] += norm[1:][next_to]
-                for d_, n_ in ((dot, norm), (pair_dot, pair_norm)):
+                row, x = np.divmod(np.unique(np.repeat(np.arange(len(f)), np.diff(np.append(f, last))) * len(weight)
+                                             + term[f[0]:last]), len(weight))
+                k = own_off[x + 1] - own_off[x]
+                i = own_item[np.repeat(own_off[x] - np.cumsum(k) + k, k) + np.arange(k.sum())]
+                share = np.bincount(np.repeat(row, k) * len(items) + i, own_share[i], len(f) * len(items)).reshape(dot.shape)
+                pair_share = share.copy()
+                pair_share[:-1][next_to] += share[1:][next_to]
+                for d_, n_, s_ in ((dot, norm, share), (pair_dot, pair_norm, pair_share)):
                     cos = d_ / np.sqrt(np.maximum(n_, 1e-30))[:, None]
-                    for r, i in zip(*np.nonzero(cos >= MIN_COSINE)):
+                    for r, i in zip(*np.nonzero((cos >= MIN_COSINE) | (s_ >= MIN_SHARE))):
                         found.setdefault((int(doc[f[r]]), int(i)), []).append((float(cos[r, i]), int(at[f[r]])))
             rows = []
             for (d, i), hits in found.items():
@@ -290,11 +300,11 @@ def _block(d: DataFrame, items: list[tuple[int, np.ndarray, int]]) -> DataFrame:
     passages = max(1, int(counts.loc[counts["term"] < 0, "df"].sum()))
 
     words = [np.searchsorted(vocabulary, c) for _, c, _ in items]
-    chosen = set()
+    chosen = []
     for w in words:
         w = np.unique(w)
-        chosen.update(w[np.argsort(df[w], kind="stable")][:max(MIN_TERMS, len(w) // 2)].tolist())
-    terms = np.array(sorted(chosen))
+        chosen.append(w[np.argsort(df[w], kind="stable")][:max(MIN_TERMS, len(w) // 2)])
+    terms = np.unique(np.concatenate(chosen))
     index = np.full(m, -1, dtype=np.int64)
     index[terms] = np.arange(len(terms))
     weight = np.log1p(passages / df[terms]) / np.sqrt(df[terms])
@@ -307,5 +317,10 @@ def _block(d: DataFrame, items: list[tuple[int, np.ndarray, int]]) -> DataFrame:
     latent = rows @ space
     latent /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-30)
     similarity = ((weight[:, None] * space) @ latent.T).astype(np.float32)
+    # items that chose each term, and what one term is of an item's own terms
+    sizes = np.array([len(c) for c in chosen])
+    of, item = index[np.concatenate(chosen)], np.repeat(np.arange(len(items)), sizes)
+    order = np.argsort(of, kind="stable")
+    own = (np.searchsorted(of[order], np.arange(len(terms) + 1)), item[order], 1.0 / sizes)
     listed = [(i, w.tolist(), a) for (i, _, a), w in zip(items, words)]
-    return ids.mapInArrow(_search_batches(sc.broadcast((weight.astype(np.float32), index, similarity, listed))), RESULT)
+    return ids.mapInArrow(_search_batches(sc.broadcast((weight.astype(np.float32), index, similarity, own, listed))), RESULT)

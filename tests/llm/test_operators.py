@@ -118,6 +118,17 @@ def test_decontamination_finds_copies_and_paraphrases_only(spark):
     assert decontam.contaminated(d.limit(0), b).count() == 0 and decontam.contaminated(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_finds_copies_of_a_hot_item_beside_rare_words(spark):
+    """Every copy of an item that most documents hold has a rare word of another item next to it."""
+    item = " ".join(f"hot{i}" for i in range(15))
+    other = [f"rare{i}" for i in range(40)]
+    docs = [(i, " ".join(f"f{i}x{j}" for j in range(70)) + f" {other[i % 40]} {item} {other[(i * 7 + 1) % 40]} " +
+             " ".join(f"g{i}x{j}" for j in range(30))) for i in range(2000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(0, item), (1, " ".join(other[:20])), (2, " ".join(other[20:]))], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(d, b).collect()} == {(i, 0) for i in range(2000)}
+
+
 def test_lcs_against_dynamic_programming():
     rng = random.Random(1)
     for _ in range(300):
