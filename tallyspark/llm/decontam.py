@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Method, for the benchmark in blocks of ``BLOCK_ITEMS`` items (a stated query set):
+Method, for the benchmark in blocks of ``BLOCK_ITEMS`` pieces of items (a stated query set):
   1. One scan turns texts into ids of benchmark words (-1: any other word),
      stored in the shared folder; all later passes read this small table.
-  2. Document frequencies over all passages of ``PASSAGE`` words.  Each item is
+  2. Document frequencies over all passages of ``PASSAGE`` words.  Steps 2 to 4 see an item
+     as pieces of at most ``PIECE`` words, step 5 as a whole.  Each piece is
      represented by its rarest half, ``MIN_TERMS`` terms at least; a term weighs
      idf / sqrt(df), so that every term has a like share in the decomposition.
   3. Distributed randomised SVD of the TF-IDF matrix of all passages, with the
@@ -14,11 +15,10 @@ Method, for the benchmark in blocks of ``BLOCK_ITEMS`` items (a stated query set
      document are compared with all items in the latent space; the window's
      norm is its full TF-IDF norm, so one shared rare word is no match.
   5. Candidates with cosine ``MIN_COSINE`` or more, and windows that hold ``MIN_SHARE``
-     of an item's own terms, however frequent these are and whatever stands beside
-     them, are checked by the longest common
-     subsequence of words around the window: contaminated from ``LCS_SURE`` of the
-     item's words, or from ``LCS_LIKELY`` if the answer, the item's last sentence,
-     is found by ``ANSWER`` of its words.
+     of a piece's own terms, however frequent these are and whatever stands beside
+     them, are checked by the longest common subsequence of words around the window:
+     contaminated from ``LCS_SURE`` of the item's words, or from ``LCS_LIKELY`` if the
+     answer, the item's last sentence, is found by ``ANSWER`` of its words.
 
 Model and item vectors are broadcast: their size is bounded by the block of items.
 
@@ -49,7 +49,8 @@ ITEM_WEIGHT = 100.0
 MIN_COSINE = 0.3
 MIN_SHARE = 0.3             # two windows and a half hold any 64 words, so one has a third of their terms
 LCS_SURE, LCS_LIKELY, ANSWER = 0.75, 0.6, 0.75
-MAX_ITEM_WORDS = 4096       # longer items are searched by pieces of this many words
+PIECE = 2 * WINDOW          # longer items are retrieved by pieces of at most this many words
+MAX_ITEM_WORDS = 4096       # longer items are checked by parts of this many words
 
 RESULT = "doc_id long, item_id long, cosine double, lcs double, answer double, start_word int, end_word int"
 
@@ -71,6 +72,15 @@ def items_of(benchmark: DataFrame, id_col: str, text_col: str) -> list[tuple[int
     return out
 
 
+def pieces_of(items: list) -> list[tuple[int, int, int]]:
+    """(number of the item, first word, end) of equal pieces of at most PIECE words."""
+    out = []
+    for k, (_, codes, _) in enumerate(items):
+        edges = np.linspace(0, len(codes), -(-len(codes) // PIECE) + 1).astype(int).tolist()
+        out += [(k, b, e) for b, e in zip(edges[:-1], edges[1:])]
+    return out
+
+
 def _id_batches(bc):
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
@@ -219,7 +229,7 @@ def _search_batches(bc):
     half = WINDOW // 2
 
     def run(batches):
-        weight, index, similarity, (own_off, own_item, own_share), items = bc.value
+        weight, index, similarity, (own_off, own_piece, own_share), of, items = bc.value
         for b in batches:
             t, off = _flat(b)
             names = b.column(0).to_pylist()
@@ -245,24 +255,25 @@ def _search_batches(bc):
                 row, x = np.divmod(np.unique(np.repeat(np.arange(len(f)), np.diff(np.append(f, last))) * len(weight)
                                              + term[f[0]:last]), len(weight))
                 k = own_off[x + 1] - own_off[x]
-                i = own_item[np.repeat(own_off[x] - np.cumsum(k) + k, k) + np.arange(k.sum())]
-                share = np.bincount(np.repeat(row, k) * len(items) + i, own_share[i], len(f) * len(items)).reshape(dot.shape)
+                i = own_piece[np.repeat(own_off[x] - np.cumsum(k) + k, k) + np.arange(k.sum())]
+                share = np.bincount(np.repeat(row, k) * len(of) + i, own_share[i], len(f) * len(of)).reshape(dot.shape)
                 pair_share = share.copy()
                 pair_share[:-1][next_to] += share[1:][next_to]
                 for d_, n_, s_ in ((dot, norm, share), (pair_dot, pair_norm, pair_share)):
                     cos = d_ / np.sqrt(np.maximum(n_, 1e-30))[:, None]
                     for r, i in zip(*np.nonzero((cos >= MIN_COSINE) | (s_ >= MIN_SHARE))):
-                        found.setdefault((int(doc[f[r]]), int(i)), []).append((float(cos[r, i]), int(at[f[r]])))
+                        found.setdefault((int(doc[f[r]]), of[i]), []).append((float(cos[r, i]), int(at[f[r]])))
             rows = []
             for (d, i), hits in found.items():
                 item_id, words, answer = items[i]
                 n = len(words)
-                best, done = None, -1
+                best, done, after = None, -1, -1
+                apart = n // 8 if n > PIECE else 0      # hits of a long item closer than this are checked in one
                 for _, p in sorted(hits, key=lambda h: h[1]):
-                    a, e = max(off[d], p - n - WINDOW), min(off[d + 1], p + n + 2 * WINDOW)
-                    if e <= done:
+                    a, e = max(off[d], p - n - WINDOW), min(off[d + 1], p + n + 2 * WINDOW + apart)
+                    if e <= done or p < after:
                         continue
-                    done = e
+                    done, after = e, p + apart
                     share, tail = check(words, answer, t[a:e].tolist())
                     if best is None or share > best[0]:
                         best = (share, tail, int(a - off[d]), int(e - off[d]))
@@ -281,13 +292,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         .filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     out = spark.createDataFrame([], RESULT)
     items = items_of(benchmark, item_col, item_text_col)
-    for s in range(0, len(items), BLOCK_ITEMS):
-        out = out.unionByName(_block(d, items[s:s + BLOCK_ITEMS]))
+    pieces = pieces_of(items)
+    for s in range(0, len(pieces), BLOCK_ITEMS):
+        block = pieces[s:s + BLOCK_ITEMS]
+        first = block[0][0]
+        out = out.unionByName(_block(d, items[first:block[-1][0] + 1], [(k - first, b, e) for k, b, e in block]))
     return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs", "answer", "cosine", "start_word", "end_word")).alias("x")) \
         .select("doc_id", "item_id", "x.cosine", "x.lcs", "x.answer", "x.start_word", "x.end_word")
 
 
-def _block(d: DataFrame, items: list[tuple[int, np.ndarray, int]]) -> DataFrame:
+def _block(d: DataFrame, items: list[tuple[int, np.ndarray, int]], pieces: list[tuple[int, int, int]]) -> DataFrame:
     spark = d.sparkSession
     sc = spark.sparkContext
     vocabulary = np.unique(np.concatenate([c for _, c, _ in items]))
@@ -300,8 +314,9 @@ def _block(d: DataFrame, items: list[tuple[int, np.ndarray, int]]) -> DataFrame:
     passages = max(1, int(counts.loc[counts["term"] < 0, "df"].sum()))
 
     words = [np.searchsorted(vocabulary, c) for _, c, _ in items]
+    parts = [words[k][b:e] for k, b, e in pieces]
     chosen = []
-    for w in words:
+    for w in parts:
         w = np.unique(w)
         chosen.append(w[np.argsort(df[w], kind="stable")][:max(MIN_TERMS, len(w) // 2)])
     terms = np.unique(np.concatenate(chosen))
@@ -309,18 +324,19 @@ def _block(d: DataFrame, items: list[tuple[int, np.ndarray, int]]) -> DataFrame:
     index[terms] = np.arange(len(terms))
     weight = np.log1p(passages / df[terms]) / np.sqrt(df[terms])
     weight /= weight.max()
-    rows = np.zeros((len(items), len(terms)))
-    for i, w in enumerate(words):
+    rows = np.zeros((len(parts), len(terms)))
+    for i, w in enumerate(parts):
         t = index[w]
         np.add.at(rows[i], t[t >= 0], weight[t[t >= 0]])
     space = latent_space(ids, weight, index, rows)
     latent = rows @ space
     latent /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-30)
     similarity = ((weight[:, None] * space) @ latent.T).astype(np.float32)
-    # items that chose each term, and what one term is of an item's own terms
+    # pieces that chose each term, and what one term is of a piece's own terms
     sizes = np.array([len(c) for c in chosen])
-    of, item = index[np.concatenate(chosen)], np.repeat(np.arange(len(items)), sizes)
-    order = np.argsort(of, kind="stable")
-    own = (np.searchsorted(of[order], np.arange(len(terms) + 1)), item[order], 1.0 / sizes)
+    term, piece = index[np.concatenate(chosen)], np.repeat(np.arange(len(parts)), sizes)
+    order = np.argsort(term, kind="stable")
+    own = (np.searchsorted(term[order], np.arange(len(terms) + 1)), piece[order], 1.0 / sizes)
     listed = [(i, w.tolist(), a) for (i, _, a), w in zip(items, words)]
-    return ids.mapInArrow(_search_batches(sc.broadcast((weight.astype(np.float32), index, similarity, own, listed))), RESULT)
+    model = (weight.astype(np.float32), index, similarity, own, [k for k, _, _ in pieces], listed)
+    return ids.mapInArrow(_search_batches(sc.broadcast(model)), RESULT)

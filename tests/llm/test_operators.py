@@ -129,6 +129,17 @@ def test_decontamination_finds_copies_of_a_hot_item_beside_rare_words(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(d, b).collect()} == {(i, 0) for i in range(2000)}
 
 
+def test_decontamination_finds_copies_of_long_items(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    items = [" ".join(word() for _ in range(n)) for n in (70, 400, 1500, 3000, 5000)]
+    fill = lambda n: " ".join(word() for _ in range(n))
+    docs = [(i, f"{fill(53)} {t} {fill(71)}") for i, t in enumerate(items)] + [(i, fill(900)) for i in range(10, 40)]
+    d = spark.createDataFrame(docs + [(50, " ".join(items[3].split()[:1500]))], "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(d, b).collect()} == {(i, i) for i in range(5)}
+
+
 def test_lcs_against_dynamic_programming():
     rng = random.Random(1)
     for _ in range(300):
