@@ -7,6 +7,7 @@ import re
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,6 +229,18 @@ def test_network_gradient_and_normalisation():
     assert abs(np.exp(lm.forward(p, one, np.arange(lm.VOCABULARY))).sum() - 1) < 1e-6
 
 
+def test_training_predicts_every_position(monkeypatch):
+    texts = ["Copyright notice " + " ".join(f"w{i % 13}" for i in range(n)) for n in (0, 5, 9000, 300)] * 2 + ["", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    codes = word_codes([t or "" for t in texts], "alnum")[0]
+    vocab = (np.unique(codes), np.arange(len(np.unique(codes))), np.zeros(lm.VOCABULARY))
+    seen = []
+    monkeypatch.setattr(lm, "step", lambda p, square, ctx, y: seen.append(y))
+    run = lm._train_batches(type("Held", (), {"value": (vocab, lm.pack(lm.initial()))}))
+    assert sum(b.column(0)[0].as_py() for b in run([batch])) == len(codes)
+    assert np.array_equal(np.sort(np.concatenate(seen)), np.sort(lm.tokens(codes, vocab)))
+
+
 def test_lm_prefers_text_in_order(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     m = lm.train(docs)
