@@ -36,7 +36,7 @@ from pyspark.sql.functions import pandas_udf
 from tallyspark.llm.common import stored
 
 BUCKETS = 1 << 16
-MAX_WORD = 12           # letters of a dictionary word
+MAX_WORD = 63           # letters of a dictionary word: the longest host label
 UNKNOWN_LETTER = 12.0   # cost of a letter outside dictionary words
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -107,7 +107,7 @@ def segment(labels: DataFrame, counts: DataFrame) -> DataFrame:
     counts = stored(counts, "words")
     total = counts.agg(F.sum("n")).first()[0] or 1
     starts = F.sequence(F.lit(1), F.length("label"))
-    sizes = F.sequence(F.lit(2), F.lit(MAX_WORD))
+    sizes = F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.length("label"), F.lit(MAX_WORD))))
     parts = F.flatten(F.transform(starts, lambda s: F.transform(sizes, lambda n: F.substring(F.col("label"), s, n))))
     subs = labels.select("label", F.explode(F.array_distinct(parts)).alias("word")).filter(F.length("word") >= 2)
     known = subs.join(counts, "word").groupBy("label").agg(

@@ -273,6 +273,14 @@ def test_segmentation_is_the_cheapest_split():
     assert urls.best_split("abcd", cost) == ["ab", "cd"] and urls.best_split("", cost) == []
 
 
+def test_segmentation_uses_long_words(spark):
+    long = ["internationalization", "x" * 61]
+    pages = spark.createDataFrame([(f"<p>{long[0]} {long[1]} shop word</p>",)] * 3, "html string")
+    labels = spark.createDataFrame([(f"{long[0]}shop",), (f"my{long[1]}",), (long[1],), ("a",)], "label string")
+    got = {r["label"]: r["words"] for r in urls.segment(labels, urls.word_counts(pages)).collect()}
+    assert got == {f"{long[0]}shop": [long[0], "shop"], f"my{long[1]}": ["m", "y", long[1]], long[1]: [long[1]], "a": ["a"]}
+
+
 # ---- 7 top-k
 def test_maxscore_equals_brute_force_with_ties(spark):
     ship_package(spark)
