@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, decontam, langid, lm, neardup, pii, topk, toxicity, urls, warc
+from tallyspark.llm import align, ann, bpe, collocations, decontam, langid, lm, neardup, pii, topk, toxicity, urls, \
+    warc
 from tallyspark.llm.common import fold, held_out, table
 
 
@@ -64,6 +65,19 @@ def op10_skipchain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                 F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op11_cyclic_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"), least=100, top=2000)
+
+
+def op12_merge_path_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents")).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best",
+                                                                 "count_sum", "groups_sha256")
+
+
+def op13_collision_counting_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_latent_decontamination": op2_latent_decontamination,
@@ -75,6 +89,9 @@ QUERIES = {
     "op8_lexicon_toxicity": op8_lexicon_toxicity,
     "op9_hyperminhash_neardup": op9_hyperminhash_neardup,
     "op10_skipchain_pii": op10_skipchain_pii,
+    "op11_cyclic_collocations": op11_cyclic_collocations,
+    "op12_merge_path_alignment": op12_merge_path_alignment,
+    "op13_collision_counting_ann": op13_collision_counting_ann,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """
@@ -93,4 +110,38 @@ ORACLE_SQL: dict[str, str] = {
               from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
         select query_id, cast(rank as integer) rank, vec_id, score from r where rank <= 20""",
+    "op11_cyclic_collocations": """
+        with docs as (select row_number() over () d, coalesce(lang, 'und') lang,
+                             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+        pieces as (select lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) p from docs),
+        lists as (select lang, list_filter(string_split_regex(p, '[\\x20\\x09]+'), lambda x: x <> '') w from pieces),
+        grams as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) phrase
+                  from lists, (select unnest(range(1, 6)) k) where len(w) >= k),
+        f as (select lang, k, phrase, count(*) a from grams group by all),
+        total as (select lang, sum(a) n from f where k = 1 group by lang),
+        c as (select lang, k, phrase, a, string_split(phrase, ' ') w from f where k > 1 and a >= 100),
+        cuts as (select c.lang, c.phrase, c.a, x.a l, y.a r, h n, z cut,
+                        (1000::hugeint * c.a * h) // (x.a::hugeint * y.a) score
+                 from (select c.*, total.n h, unnest(range(1, k)) z from c join total using (lang)) c
+                 join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[:c.z], ' ')
+                 join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[c.z + 1:], ' ')),
+        best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+        inner_ as (select c.lang, array_to_string(c.w[i:i + m - 1], ' ') phrase, max(c.a) top
+                   from c, (select unnest(range(2, 5)) m), (select unnest(range(1, 5)) i)
+                   where m < c.k and i + m - 1 <= c.k group by all),
+        kept as (select b.* from best b left join inner_ s on s.lang = b.lang and s.phrase = b.phrase
+                 where s.top is null or 100 * s.top < 100 * b.a),
+        ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from kept)
+        select lang, cast(rank as bigint) rank, phrase, a, l, r, cast(n as bigint) n, cast(score as bigint) score
+        from ranked where rank <= 2000""",
+    "op13_collision_counting_ann": """
+        with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) v
+                   from embeddings where embedding is not null
+                   and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+                   and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        s as (select q.vec_id query_id, c.vec_id,
+                     sqrt(list_sum(list_transform(list_zip(q.v, c.v), lambda z: (z[2] - z[1]) * (z[2] - z[1])))) score
+              from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id),
+        r as (select *, row_number() over (partition by query_id order by score, vec_id) rank from s)
+        select query_id, cast(rank as integer) rank, vec_id, score from r where rank <= 10""",
 }
