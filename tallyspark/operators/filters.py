@@ -27,7 +27,8 @@ def validate(raw: DataFrame) -> DataFrame:
     """Parse and check raw text rows.
 
     Adds the cleaned columns (t_type, amount, category, tx_date, note), one
-    boolean per rule and ``valid``; ``reasons`` lists the failed rules.
+    boolean per rule and ``valid``; ``reasons`` lists the failed rules.  A null
+    field fails its rule, so every verdict is true or false.
     """
     t = F.lower(F.trim(F.col("type")))
     amt = F.expr("try_cast(trim(amount) as decimal(18,2))")
@@ -39,7 +40,7 @@ def validate(raw: DataFrame) -> DataFrame:
         blank_to_null("note").alias("note_clean"),
     ).select(
         "*",
-        F.col("t_type").isin(TX_TYPES).alias("type_ok"),
+        F.coalesce(F.col("t_type").isin(TX_TYPES), F.lit(False)).alias("type_ok"),
         F.coalesce(F.col("amount_num") > 0, F.lit(False)).alias("amount_ok"),
         F.col("category_clean").isNotNull().alias("category_ok"),
         F.col("tx_date").isNotNull().alias("date_ok"),

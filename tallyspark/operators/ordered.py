@@ -177,21 +177,20 @@ def project(df: DataFrame, by: Sequence[str] | None = None, periods: int = 6) ->
     Each type is fitted over the key's zero-filled month x type matrix; a type
     is returned only when the key has more than one month and some amount of
     that type (a type the key never had is left out).  History and fit
-    come from one window pass over the (key, type, month) rows, so both
+    come from one window pass over the (key, month) rows, so both
     branches of the union share its exchange.
     """
     k = keys(by)
-    m = monthly_in_out(df, by)
-    long = m.select(*k, "month", F.explode(F.array(
-        F.struct(F.lit(INCOME).alias("t_type"), F.col(INCOME).alias("v")),
-        F.struct(F.lit(EXPENSE).alias("t_type"), F.col(EXPENSE).alias("v")))).alias("p")
-    ).select(*k, "month", "p.t_type", "p.v")
+    w = _w(k)
+    m = monthly_in_out(df, by).select(
+        *k, "month", INCOME, EXPENSE, (F.row_number().over(w.orderBy("month")) - 1).cast("bigint").alias("x"),
+        F.count(F.lit(1)).over(w).alias("n_all"), F.max(F.col(INCOME) != 0).over(w).alias("has_income"),
+        F.max(F.col(EXPENSE) != 0).over(w).alias("has_expense")).filter(F.col("n_all") > 1)
     kt = k + ["t_type"]
-    s = (long.withColumn("x", (F.row_number().over(_w(kt).orderBy("month")) - 1).cast("bigint"))
-         .withColumn("n_all", F.count(F.lit(1)).over(_w(kt)))
-         .withColumn("held", F.max(F.col("v") != 0).over(_w(kt)))
-         .filter((F.col("n_all") > 1) & F.col("held"))
-         .withColumn("y", _cents_exact("v")))
+    s = m.select(*k, "month", "x", F.explode(F.array(
+        F.struct(F.lit(INCOME).alias("t_type"), F.col(INCOME).alias("v"), F.col("has_income").alias("held")),
+        F.struct(F.lit(EXPENSE).alias("t_type"), F.col(EXPENSE).alias("v"), F.col("has_expense").alias("held")))).alias("p")) \
+        .select(*k, "month", "x", "p.*").filter("held").withColumn("y", _cents_exact("v"))
     hist = s.select(*kt, "month", F.col("v").cast("double").alias("value"), F.lit(False).alias("is_forecast"))
     fit = s.groupBy(*kt).agg(
         F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"),

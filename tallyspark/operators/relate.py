@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.columns import keys
+from tallyspark.functions.columns import keys, month_label
 from tallyspark.operators.filters import period_months, period_predicate
 from tallyspark.schema import EXPENSE
 
@@ -69,9 +69,13 @@ def drop_known(new: DataFrame, ledger: DataFrame) -> DataFrame:
     """New rows that repeat neither each other nor a stored row.
 
     Equality is on (user, type, amount, date, category, note) with the note
-    compared null-safely.
+    compared null-safely.  On a stored ledger only the months of the new rows
+    are read (their names, at most one per month of the batch, are fetched first).
     """
     batch = new.dropDuplicates(DUP_COLS)
+    if "tx_month" in ledger.columns:
+        months = [r[0] for r in new.select(month_label("tx_date").alias("m")).distinct().collect() if r[0] is not None]
+        ledger = ledger.filter(F.col("tx_month").isin(months))
     stored = ledger.select(*[F.col(c).alias(f"_s_{c}") for c in DUP_COLS])
     cond = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) if c == "note" else (F.col(c) == F.col(f"_s_{c}"))
             for c in DUP_COLS]

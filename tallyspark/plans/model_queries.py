@@ -131,10 +131,9 @@ def q_model_roundtrip(spark, d):
 
 # ---- budget
 def q_budget_clusters(spark, d):
-    train, _ = _split(spark, d)
     m = _fitted(spark, d, "budget", "train")
     from tallyspark.operators.rollups import category_matrix
-    return H10.assign_clusters(m, category_matrix(train, m.categories, by=[])).select("month", "cluster", "advice")
+    return H10.assign_clusters(m, category_matrix(ledger(spark, d), m.categories, by=[])).select("month", "cluster", "advice")
 
 
 def q_budget_advice(spark, d):

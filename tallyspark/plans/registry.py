@@ -32,6 +32,7 @@ AS_OF_SQL = "date '2001-08-01'"
 # the categories of the driver tables, which the SQL twins name as columns; the queries read them from the data
 EXPENSE_CATS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 ERASED_HOUSEHOLDS = ["NATION_3", "NATION_7"]
+FOUND_WORDS = ["promo", "urgent"]      # words that occur in the driver tables' categories
 PROMOTED_USERS = ["Customer#000000001", "Customer#000000002", "Customer#000000100"]
 
 
@@ -107,8 +108,7 @@ QUERIES = {
     "savings_stats": lambda s, d: C.savings_stats(_L(s, d)),
     "goal_progress": lambda s, d: C.goal_progress(_L(s, d)),
     "whole_ledger_summary": lambda s, d: C.summary_stats(_L(s, d), by=[]),
-    "household_summary": lambda s, d: C.summary_stats(D.enrich(_L(s, d), users(s, d), households(s, d)),
-                                                      by=["household_id"]),
+    "household_summary": lambda s, d: C.summary_by_group(_L(s, d), users(s, d)),
     # --- E / F / H1 / H2: ordered ---
     "savings_over_time": lambda s, d: E.savings_over_time(_L(s, d)),
     "trend": lambda s, d: E.trend(_L(s, d)),
@@ -136,6 +136,10 @@ QUERIES = {
     "uniqueness_violations": lambda s, d: D.uniqueness_violations(users(s, d), "username"),
     "orphans": lambda s, d: D.orphans(_L(s, d), users(s, d), "user_id"),
     "orphan_users": lambda s, d: D.orphans(users(s, d), households(s, d), "household_id"),
+    "shared_households": lambda s, d: D.uniqueness_violations(users(s, d), "household_id"),
+    "orphan_rows": lambda s, d: D.orphans(_L(s, d), B.coerce_role(users(s, d)).filter(F.col("role") == "user"), "user_id"),
+    "homeless_users": lambda s, d: D.orphans(
+        users(s, d), households(s, d).filter(~F.col("name").isin(ERASED_HOUSEHOLDS)), "household_id"),
     "erase_users": lambda s, d: D.erase_users(_L(s, d), users(s, d), PROMOTED_USERS)[0],
     "ledger_for_users": lambda s, d: D.ledger_for_users(
         _L(s, d), users(s, d).filter(F.col("household_id") == 1)),
@@ -160,6 +164,7 @@ QUERIES = {
     "validate_households": lambda s, d: B.validate_accounts(users(s, d), households(s, d))[1],
     "coerce_role": lambda s, d: B.coerce_role(users(s, d)),
     "keyword_series": lambda s, d: B.keyword_series(_L(s, d)),
+    "keyword_series_found": lambda s, d: B.keyword_series(_L(s, d), FOUND_WORDS),
     "set_role": lambda s, d: B.set_role(users(s, d), PROMOTED_USERS, "admin"),
     # --- I: quality ---
     "imbalance": lambda s, d: Q.imbalance(_L(s, d)),
@@ -440,6 +445,17 @@ ORACLE_SQL = {
         select {LEDGER_COLS} from ledger where user_id not in (select user_id from users where household_id in
           (select household_id from households where name in ('NATION_3', 'NATION_7')))""",
     "uniqueness_violations": _with("users") + "select username, count(*) n from users group by 1 having count(*) > 1",
+    "shared_households": _with("users") + "select household_id, count(*) n from users group by 1 having count(*) > 1",
+    "orphan_rows": _with("ledger", "users") + f"""
+        select {LEDGER_COLS} from ledger l where not exists
+          (select 1 from users u where u.user_id = l.user_id and u.role = 'user')""",
+    "homeless_users": _with("users") + """
+        select * from users where household_id in
+          (select n_nationkey from nation where n_name in ('NATION_3', 'NATION_7'))""",
+    "keyword_series_found": _with("ledger") + f"""
+        select user_id, {MONTH} as month, cast(sum(amount) as double) total from ledger
+        where tx_date is not null and (lower(concat_ws(' ', category, note)) like '%promo%'
+              or lower(concat_ws(' ', category, note)) like '%urgent%') group by 1, 2""",
     "orphan_users": _with("users", "households") + """
         select * from users u where household_id is not null
           and not exists (select 1 from households h where h.household_id = u.household_id)""",
@@ -458,7 +474,7 @@ ORACLE_SQL = {
         v as (select *, lower(trim(type)) t_type, try_cast(trim(amount) as decimal(18,2)) amount_num,
                      nullif(trim(category), '') category_clean,
                      try_strptime(trim(date), '%Y-%m-%d') ts_ok, nullif(trim(note), '') note_clean from raw),
-        c as (select *, cast(ts_ok as date) tx_date, t_type in ('income', 'expense') type_ok,
+        c as (select *, cast(ts_ok as date) tx_date, coalesce(t_type in ('income', 'expense'), false) type_ok,
                      coalesce(amount_num > 0, false) amount_ok, category_clean is not null category_ok,
                      ts_ok is not null date_ok from v)
         select id, user_id, date, type, amount, category, note, t_type, cast(amount_num as double) amount_num,
@@ -561,3 +577,9 @@ from tallyspark.plans.stream_queries import STREAM_QUERIES, stream_oracle_sql  #
 
 QUERIES.update(STREAM_QUERIES)
 ORACLE_SQL.update(stream_oracle_sql(_with, ORACLE_SQL))
+
+# ---- what is kept at rest
+from tallyspark.plans.stored_queries import STORED_QUERIES, stored_oracle_sql  # noqa: E402
+
+QUERIES.update(STORED_QUERIES)
+ORACLE_SQL.update(stored_oracle_sql(_with, LEDGER_COLS, ORACLE_SQL))

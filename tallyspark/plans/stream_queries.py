@@ -91,8 +91,7 @@ def q_stream_categorise(spark: SparkSession, d: str) -> DataFrame:
     src, ck, out = _dirs(spark, "categorise")
     L = ledger(spark, d)
     model = _fitted(spark, d, "category", "train")
-    L.filter(F.col("tx_date") >= F.lit(AS_OF).cast("date")) \
-        .withColumn("category", F.when(F.col("t_type") == "expense", F.lit(" ")).otherwise(F.col("category"))) \
+    L.withColumn("category", F.when(F.col("t_type") == "expense", F.lit(" ")).otherwise(F.col("category"))) \
         .write.parquet(src)
     sdf = J.stream_categorise(J.read_ledger_stream(spark, src, LEDGER_SCHEMA), model)
     J.run_available(sdf, ck, J.write_batches(out))
@@ -104,7 +103,7 @@ def q_stream_flag(spark: SparkSession, d: str) -> DataFrame:
     src, ck, out = _dirs(spark, "flag")
     L = ledger(spark, d)
     model = _fitted(spark, d, "anomaly", "train")
-    L.filter(F.col("tx_date") >= F.lit(AS_OF).cast("date")).write.parquet(src)
+    L.write.parquet(src)
     sdf = J.stream_flag(J.read_ledger_stream(spark, src, LEDGER_SCHEMA), model)
     J.run_available(sdf, ck, J.write_batches(out))
     return spark.read.parquet(out).select("tx_id", "user_id", "amount", "score", "anomaly")
@@ -128,7 +127,7 @@ def stream_oracle_sql(with_, oracle: dict[str, str]) -> dict[str, str]:
             v as (select *, lower(trim(type)) t_type, try_cast(trim(amount) as decimal(18,2)) amount_num,
                          nullif(trim(category), '') category_clean,
                          try_strptime(trim(date), '%Y-%m-%d') ts_ok, nullif(trim(note), '') note_clean from raw),
-            c as (select *, t_type in ('income', 'expense') type_ok, coalesce(amount_num > 0, false) amount_ok,
+            c as (select *, coalesce(t_type in ('income', 'expense'), false) type_ok, coalesce(amount_num > 0, false) amount_ok,
                          category_clean is not null category_ok, ts_ok is not null date_ok from v)
             select id tx_id, try_cast(trim(user_id) as bigint) user_id, t_type, cast(amount_num as double) amount,
                    category_clean category, strftime(cast(ts_ok as date), '%Y-%m-%d') tx_date, note_clean note,

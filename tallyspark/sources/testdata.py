@@ -30,16 +30,29 @@ def _hadoop(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+_IDS: dict[tuple, tuple] = {}
+
+
 def _file_id(spark: SparkSession, path: str) -> str:
-    """Digest of path, length and modification time of every file below ``path``, on any file system."""
+    """Digest of path, length and modification time of every file below ``path``, on any file system.
+
+    The files are listed once per session while the folder's own status stays the same
+    (it changes when files come, go or are renamed); later calls cost one status request.
+    """
     p, fs = _hadoop(spark, path)
     if not fs.exists(p):
         return ""
+    status = fs.getFileStatus(p)
+    now = (status.getModificationTime(), status.getLen())
+    key = (spark.sparkContext.applicationId, path)
+    if _IDS.get(key, (None,))[0] == now:
+        return _IDS[key][1]
     files, it = [], fs.listFiles(p, True)
     while it.hasNext():
         f = it.next()
         files.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
-    return hashlib.sha1("\n".join(sorted(files)).encode()).hexdigest()
+    _IDS[key] = (now, hashlib.sha1("\n".join(sorted(files)).encode()).hexdigest())
+    return _IDS[key][1]
 
 
 _LOCK = threading.RLock()  # one builder per process; re-entrant: a build reads its source tables

@@ -32,7 +32,7 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -95,7 +95,7 @@ def write_split(good_path: str, quarantine_path: str):
         try:
             batch.filter("valid").drop("valid", "reasons") \
                 .write.mode("overwrite").parquet(f"{good_path}/batch={batch_id}")
-            batch.filter("not valid").write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
+            batch.filter("valid is null or not valid").write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
         finally:
             batch.unpersist()
     return _write
@@ -176,8 +176,9 @@ def write_batches(path: str):
 def read_latest(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame:
     """Compact an update-mode sink: the last written row per key."""
     df = spark.read.parquet(path)
-    w = Window.partitionBy(*key).orderBy(F.col("batch").desc())
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "batch")
+    rest = [c for c in df.columns if c not in key and c != "batch"]
+    last = df.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
+    return last.select(*key, *[F.col(f"_last.{c}").alias(c) for c in rest]).select(*[c for c in df.columns if c != "batch"])
 
 
 # ------------------------------------------------------------------ J6
