@@ -7,7 +7,8 @@ Method
      leading-zero count (6 bits) plus ``MANTISSA`` mantissa bits.  Empty
      buckets are filled by further rounds of hashing of the same set, so the
      chance that two documents agree in a register is their Jaccard similarity.
-     Documents with equal sets are collapsed by a 128-bit fingerprint.
+     Documents with equal sets are collapsed by a 128-bit fingerprint; every
+     distinct set has a number of its own, and all links are between sets.
   2. Banding of the compressed registers: ``BANDS`` bands of ``ROWS``
      registers.  Every member of a band's group is paired with the group's
      hub only (its most copied text), never with all others.
@@ -27,9 +28,9 @@ A link at the threshold is missed with probability below 1e-7 by banding
 
 Defined cases: null or wordless text has an empty set and is linked with
 nothing; fewer than five words: the whole sequence is one shingle; rows with a
-null id take no part; equal rows (same id, same text) are one document; an id
-that comes with several texts is searched by the one of smallest fingerprint,
-the others keep their own id; extra columns are ignored, whatever their names.
+null id take no part; equal rows (same id, same text) are one document; rows of one
+id with different texts are searched each by its own text, and a component takes the
+smallest id of all its rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import arrow_texts, mix, stored, word_codes
+from tallyspark.llm.common import add_columns, arrow_texts, mix, stored, text_batches, word_codes
 from tallyspark.llm.components import components
 
 SHINGLE = 5
@@ -165,8 +166,8 @@ def _confirm(percent: int):
     def run(batches):
         for b in batches:
             keep = []
-            for x, y in zip(b.column("ca").to_pylist(), b.column("cb").to_pylist()):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            for i in range(b.num_rows):     # one pair at a time: the sets stay in their Arrow buffers
+                x, y = (np.frombuffer(b.column(c)[i].as_buffer(), dtype=np.uint64) for c in ("ca", "cb"))
                 if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     keep.append(False)
                     continue
@@ -234,9 +235,11 @@ def _cross_batches(bound: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row of ``docs`` with an id.
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """(doc_id, fp, group, n_shingles, component_id, kept) per row of ``docs`` with an id.
+
+    fp is the fingerprint of the text's set and group the number of its component (null without words): rows of
+    one id may lie in several groups, whose component_id then is the same.
 
     component_id is the smallest id reachable over links of similarity
     ``percent`` / 100 or more; kept marks the one document of each component.
@@ -245,9 +248,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .filter(F.col("doc_id").isNotNull())
     bound = estimate_bound(percent / 100)
     sk = stored(sketches(src), "sketches")
-    reps = sk.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
+    reps = sk.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"),
                                                 F.first("regs").alias("regs"))
-    reps = stored(reps.groupBy("rep").agg(F.min(F.struct("fp", "copies", "regs")).alias("x")).select("rep", "x.*"), "reps")
+    reps = stored(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")      # written once: the numbers stay
 
     # band groups of two or more; the hub is the most copied text, then the smallest id
     bands = reps.select("rep", "copies", "regs").mapInArrow(_band_batches, "band long, rep long, copies long")
@@ -261,9 +264,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = _similar(star.distinct(), regs, bound)
 
     # full sets, only for texts that share a band with another one
-    wanted = reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "fp")
-    texts = src.join(wanted, src["doc_id"] == wanted["rep"], "left_semi")
-    sets = texts.mapInArrow(_set_batches, "rep long, fp binary, codes binary").join(wanted, ["rep", "fp"], "left_semi")
+    wanted = reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "fp", "doc")
+    texts = src.join(wanted, src["doc_id"] == wanted["doc"], "left_semi")
+    sets = texts.mapInArrow(_set_batches, "doc long, fp binary, codes binary").join(wanted, ["doc", "fp"])
     sets = stored(sets.dropDuplicates(["rep"]).select("rep", "codes"), "sets")
     links = stored(_confirmed(star, sets, percent), "links")
     label = components(links)
@@ -277,10 +280,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = stored(_confirmed(_across(rest, bound, percent), sets, percent), "links")
     label = components(links.unionByName(more))
 
-    out = sk.join(reps.select("fp", "rep"), "fp", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")
-    cid = F.coalesce(F.col("component"), F.col("rep"), F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), cid.alias("component_id"),
-                      (F.col("doc_id") == cid).alias("kept"))
+    # a component is named by the smallest id of its rows
+    named = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left") \
+        .select("fp", "doc", F.coalesce("component", "rep").alias("comp"))
+    low = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
+    named = named.join(low, "comp").select("fp", F.col("comp").alias("group"), "component_id")
+    cid = F.coalesce(F.col("component_id"), F.col("doc_id"))
+    return sk.join(named, "fp", "left").select("doc_id", "fp", "group", F.col("n").alias("n_shingles"), cid.alias("component_id"),
+                                               (F.col("doc_id") == cid).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per row of ``docs`` with an id."""
+    return classes(docs, id_col, text_col, percent).drop("fp", "group")
+
+
+def fingerprint_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with the column fp: the fingerprint that ``classes`` names; null without words."""
+    def make(texts):
+        out = []
+        for _, some in text_batches(texts, texts):
+            out += [_fingerprint(s.tobytes()) if len(s) else None for s in shingles(some)]
+        return [pa.array(out, pa.binary())]
+    return add_columns(docs, text_col, make, {"fp": "binary"})
 
 
 def _divided(m: DataFrame) -> DataFrame:
@@ -293,9 +315,10 @@ def _divided(m: DataFrame) -> DataFrame:
 def _code_rows(batches):
     schema = pa.schema([("rep", pa.int64()), ("code", pa.int64())])
     for b in batches:
-        if b.num_rows:
-            codes = [np.frombuffer(c, dtype=np.int64) for c in b.column("codes").to_pylist()]
-            reps = np.repeat(b.column("rep").to_numpy(zero_copy_only=False), [len(c) for c in codes])
+        for s in range(0, b.num_rows, 500):
+            t = b.slice(s, 500)
+            codes = [np.frombuffer(c, dtype=np.int64) for c in t.column("codes").to_pylist()]
+            reps = np.repeat(t.column("rep").to_numpy(zero_copy_only=False), [len(c) for c in codes])
             yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(np.concatenate(codes))], schema=schema)
 
 
