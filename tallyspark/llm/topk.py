@@ -16,8 +16,9 @@ can still reach the threshold.  Cells return k rows per query, merged by rank.
 
 Defined cases: vectors that are null, empty or hold null or non-finite
 components, and rows with a null id, take no part; shorter vectors count as
-zero in the missing dimensions; equal rows count once, and of several vectors of
-one id the smallest counts; fewer rows than k give all of them; ties go to the
+zero in the missing dimensions; rows of one id, equal or not, are rows of their
+own, and if the id is a query the k best answers to all its rows are kept (an id
+never answers itself); fewer rows than k give all of them; ties go to the
 smaller id.  Impacts and scores are exact in 64 bits while |score| < 2 ** 53.
 """
 
@@ -39,13 +40,13 @@ HITS = "query_id long, vec_id long, score long"
 
 
 def impacts(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(vec_id, v): one row per id, impacts as array of long."""
+    """(vec_id, v): the rows that take part, impacts as array of long."""
     x = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     big = F.lit(float("inf"))
     bad = F.exists("v", lambda t: t.isNull() | F.isnan(t) | (F.abs(t) == big))
     x = x.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~bad)
     v = F.transform("v", lambda t: F.floor(F.lit(float(scale)) * t).cast("long"))
-    return x.select("vec_id", v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return x.select("vec_id", v.alias("v"))
 
 
 def _pack(limit: float):
