@@ -50,7 +50,6 @@ MIN_COSINE = 0.3
 MIN_SHARE = 0.3             # two windows and a half hold any 64 words, so one has a third of their terms
 LCS_SURE, LCS_LIKELY, ANSWER = 0.75, 0.6, 0.75
 PIECE = 2 * WINDOW          # longer items are retrieved by pieces of at most this many words
-MAX_ITEM_WORDS = 4096       # longer items are checked by parts of this many words
 
 RESULT = "doc_id long, item_id long, cosine double, lcs double, answer double, start_word int, end_word int"
 
@@ -67,8 +66,7 @@ def items_of(benchmark: DataFrame, id_col: str, text_col: str) -> list[tuple[int
             continue
         answer = len(codes) - (word_codes([sentences[-1]], "alnum")[0].size if sentences else 0)
         answer = answer if 0 < answer <= len(codes) - 3 else max(0, len(codes) - max(3, len(codes) // 3))
-        for s in range(0, len(codes), MAX_ITEM_WORDS):
-            out.append((i, codes[s:s + MAX_ITEM_WORDS], min(max(answer - s, 0), max(0, len(codes[s:s + MAX_ITEM_WORDS]) - 3))))
+        out.append((i, codes, answer))
     return out
 
 
@@ -107,7 +105,7 @@ def _slots(off: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, int]
     """Number of the block of ``size`` words that each position lies in; blocks do not cross documents."""
     n = np.diff(off)
     blocks = np.concatenate([[0], np.cumsum(-(-n // size))])
-    doc = np.searchsorted(off, at, side="right") - 1
+    doc = np.repeat(np.arange(len(n)), n)[at] if len(at) > len(n) else np.searchsorted(off, at, side="right") - 1
     return blocks[doc] + (at - off[doc]) // size, int(blocks[-1])
 
 
@@ -122,8 +120,14 @@ def _df_batches(m: int):
             at = np.flatnonzero(t >= 0)
             slot, n = _slots(off, at, PASSAGE)
             passages += n
-            pairs = np.unique(slot * m + t[at])
-            total += np.bincount(pairs % m, minlength=m)
+            step = max(1, 4_000_000 // m)               # passages marked at once: a term counts once in each
+            cut = np.searchsorted(slot, np.arange(0, n + step, step))
+            for s, e in zip(cut[:-1], cut[1:]):
+                if s < e:
+                    low = int(slot[s])
+                    seen = np.zeros((int(slot[e - 1]) - low + 1, m), dtype=bool)
+                    seen[slot[s:e] - low, t[at[s:e]]] = True
+                    total += seen.sum(axis=0)
         keep = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(keep, -1).astype(np.int32)),
                                           pa.array(np.append(total[keep], passages))], schema=schema)
