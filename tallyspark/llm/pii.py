@@ -7,12 +7,14 @@ retried): email, ip (parts at most 255), card (13 to 19 digits passing Luhn), ph
 Method
   * Nodes are the white-space tokens that hold a digit or ``@``, with one token of
     context on either side; all other tokens are outside any entity and cut the
-    chain.  Node features are the token's shape (digits and letters collapsed to
-    classes with counts), its neighbours' shapes and a few cues.
+    chain.  Neighbouring tokens of digits that together read as one card number
+    (Luhn) are one node.  Node features are the shape (digits and letters collapsed to
+    classes with counts), the neighbours' shapes and a few cues.
   * Weights: multinomial logistic regression of the base labels on hashed
     features, label transitions, and the agreement of repeated tokens, fitted on a
     bounded sample of ``FIT_DOCS`` documents that hold base spans (smallest hash
-    of the id first).
+    of the id first).  Card-like nodes without a base span are left out: the base
+    pattern swallowed them, which says nothing against them.
   * Skip chain: a token that repeats, or is similar to an earlier one (same
     characters but for punctuation and case), shares a potential with its previous
     occurrence, wherever that is.  Loopy sum-product message passing over chain
@@ -33,6 +35,7 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,13 +47,15 @@ from tallyspark.llm.common import add_columns, arrow_texts
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["other", *KINDS]
+UNKNOWN = -1
 FIT_DOCS = 2_000
 FEATURES = 1 << 12
 ROUNDS = 8
 MIN_PROBABILITY = 0.5
+CARD_LENGTHS = [16, 15, 14, 13, 19, 18, 17]     # by how common they are
 # what an added span may look like: a model's guess outside these forms is not added
 FORMS = {"email": re.compile(r"\S+@\S+\.\S+"), "ip": re.compile(r"[0-9]{1,3}([.:-][0-9]{1,3}){3}"),
-         "card": re.compile(r"[0-9]([ -]?[0-9]){12,18}"), "phone": re.compile(r"\+?[0-9(]([ ().-]*[0-9]){8,14}")}
+         "card": re.compile(r"[0-9](\s{0,2}-?[0-9]){12,18}"), "phone": re.compile(r"\+?[0-9(]([ ().-]*[0-9]){8,14}")}
 
 _ANY = re.compile(r"[0-9@]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -59,6 +64,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"\S+")
+_CARD_TOKEN = re.compile(r"[0-9]+(-[0-9]+)*")
 
 
 # ---------------------------------------------------------------- base patterns
@@ -134,6 +140,7 @@ class Graph:
     features: list[list[int]]
     chain: list[tuple[int, int]]
     skip: list[tuple[int, int]]
+    card: list[bool]            # does the node read as a card number, whatever the base patterns say?
 
 
 def graph(text: str) -> Graph:
@@ -160,29 +167,68 @@ def graph(text: str) -> Graph:
             tokens.append((nxt.start(), nxt.end()))
         pos = b
     words = [text[a:b] for a, b in tokens]
-    shapes = [_shape(w[slice(*_core(w))]) for w in words]
     near = [bool(text[x[1]:y[0]].isspace() and len(text[x[1]:y[0]]) <= 2) for x, y in zip(tokens[:-1], tokens[1:])]
+    # tokens that read as one card number are one node, with the shape of its digits however they are spaced
+    runs = card_runs([w[slice(*_core(w))] for w in words], near)
+    starts, inner = {a: b for a, b in runs}, {i for a, b in runs for i in range(a + 1, b + 1)}
+    firsts = [i for i in range(len(tokens)) if i not in inner]
+    card = [i in starts for i in firsts]
+    near = [near[starts.get(i, i)] for i in firsts[:-1]]
+    tokens = [(tokens[i][0], tokens[starts.get(i, i)][1]) for i in firsts]
+    words = [text[a:b] for a, b in tokens]
+    shapes = [_shape(_digits(w) if c else w[slice(*_core(w))]) for w, c in zip(words, card)]
     features, last, skip = [], {}, []
     for i, w in enumerate(words):
         before = shapes[i - 1] if i and near[i - 1] else "^"
         after = shapes[i + 1] if i + 1 < len(words) and near[i] else "$"
         names = [f"s{shapes[i]}", f"b{before}|{shapes[i]}", f"a{shapes[i]}|{after}", f"n{min(20, len(_digits(w)))}",
-                 f"@{'@' in w}{'.' in w[w.find('@'):]}", f"p{w[:1] if not w[:1].isalnum() else ''}", "1"]
+                 f"@{'@' in w}{'.' in w[w.find('@'):]}", f"p{w[:1] if not w[:1].isalnum() else ''}", f"l{card[i]}", "1"]
         features.append([zlib.crc32(n.encode("utf-8", "replace")) % FEATURES for n in names])
         form = re.sub(r"\W+", "", w).lower()
         if len(form) >= 4:
             if form in last:
                 skip.append((last[form], i))
             last[form] = i
-    return Graph(tokens, features, [(i, i + 1) for i, n in enumerate(near) if n], skip)
+    return Graph(tokens, features, [(i, i + 1) for i, n in enumerate(near) if n], skip, card)
 
 
 def base_labels(g: Graph, spans: list[tuple[str, int, int]]) -> np.ndarray:
+    """Labels to learn from.  A node that reads as a card number where no base span lies is left open: the base
+    pattern has swallowed it in a longer failing match, which is no evidence against it."""
     out = np.zeros(len(g.spans), dtype=np.int64)
+    ends = [y for _, y in g.spans]          # tokens are in order and apart
     for kind, a, b in spans:
-        for i, (x, y) in enumerate(g.spans):
-            if x < b and a < y:
-                out[i] = LABELS.index(kind)
+        i = bisect_right(ends, a)
+        while i < len(ends) and g.spans[i][0] < b:
+            out[i] = LABELS.index(kind)
+            i += 1
+    out[np.array(g.card, dtype=bool) & (out == 0)] = UNKNOWN
+    return out
+
+
+def card_runs(words: list[str], near: list[bool]) -> list[tuple[int, int]]:
+    """(first, last) token of the stretches that read as one card number: 13 to 19 digits passing Luhn.
+
+    Stretches are sought from the left in runs of neighbouring tokens of digits and hyphens, none overlapping
+    another; of several from one token the first length in ``CARD_LENGTHS`` counts.  A stretch has at most 19
+    tokens, so this is linear in the text.
+    """
+    digits = [_digits(w) if _CARD_TOKEN.fullmatch(w) else "" for w in words]
+    out, i = [], 0
+    while i < len(words):
+        if not digits[i]:
+            i += 1
+            continue
+        found, number, j = [], "", i
+        while j < len(words) and digits[j] and (j == i or near[j - 1]) and len(number) + len(digits[j]) <= 19:
+            number += digits[j]
+            if len(number) >= 13 and luhn(number):
+                found.append((CARD_LENGTHS.index(len(number)), j))
+            j += 1
+        if found:
+            out.append((i, min(found)[1]))
+            i = out[-1][1]
+        i += 1
     return out
 
 
@@ -198,10 +244,11 @@ class Model:
 def train(examples: list[tuple[Graph, np.ndarray]], steps: int = 300) -> Model:
     """Piecewise training: regression for the nodes, smoothed log-odds of label pairs for either kind of link."""
     k = len(LABELS)
-    if not any(y.any() for _, y in examples):
+    if not any((y > 0).any() for _, y in examples):
         return Model(np.zeros((FEATURES, k)), np.zeros((k, k)), np.zeros((k, k)), known=False)
     x = np.array([f for g, _ in examples for f in g.features])
     y = np.concatenate([y for _, y in examples])
+    x, y = x[y != UNKNOWN], y[y != UNKNOWN]
     w, sq = np.zeros((FEATURES, k)), np.full((FEATURES, k), 1e-8)
     target = np.eye(k)[y]
     for _ in range(steps):                                  # full-batch AdaGrad with a small ridge
@@ -218,7 +265,8 @@ def train(examples: list[tuple[Graph, np.ndarray]], steps: int = 300) -> Model:
         c = np.ones((k, k)) * 0.5
         for g, lab in examples:
             for i, j in getattr(g, name):
-                c[lab[i], lab[j]] += 1
+                if lab[i] != UNKNOWN and lab[j] != UNKNOWN:
+                    c[lab[i], lab[j]] += 1
         # pointwise mutual information, half of it: the node features know part of it already; that a
         # pair was not seen in the sample says little, so the lower bound is near zero
         return np.clip(0.5 * np.log(c / c.sum() / (c.sum(1, keepdims=True) / c.sum()) / (c.sum(0) / c.sum())), -0.5, 2)
@@ -269,6 +317,18 @@ def added_spans(text: str, base: list[tuple[str, int, int]], model: Model) -> li
     linked = {i for i, _ in g.chain}
     out, i = [], 0
     taken = sorted((a, b) for _, a, b in base)
+    starts = [a for a, _ in taken]
+    longest = max((b - a for a, b in taken), default=0)
+
+    def free(a: int, b: int) -> bool:
+        """No base span overlaps [a, b)."""
+        k = bisect_right(starts, b - 1)
+        while k and starts[k - 1] > a - longest:
+            k -= 1
+            if taken[k][1] > a:
+                return False
+        return True
+
     while i < len(lab):
         j = i
         while j + 1 < len(lab) and lab[j + 1] == lab[i] and j in linked and LABELS[lab[i]] == "phone":
@@ -278,8 +338,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]], model: Model) -> li
             first, last = text[slice(*g.spans[i])], text[slice(*g.spans[j])]
             a, b = g.spans[i][0] + _core(first)[0], g.spans[j][0] + _core(last)[1]
             span = text[a:b]
-            if (FORMS[kind].fullmatch(span) and (kind != "card" or luhn(_digits(span)))
-                    and not any(x < b and a < y for x, y in taken)):
+            if FORMS[kind].fullmatch(span) and (kind != "card" or luhn(_digits(span))) and free(a, b):
                 out.append((kind, a, b))
         i = j + 1
     return out
@@ -311,7 +370,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, id_col: str = "doc_id", text_
     few = d.mapInArrow(_holding_batches, "doc_id long").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
     # at most fit_docs ids, so they may be broadcast
     rows = d.join(F.broadcast(few), "doc_id", "left_semi").mapInArrow(_example_batches, "example binary").collect()
-    return train([(Graph([], *x[:3]), x[3]) for x in (pickle.loads(r) for r in sorted(r[0] for r in rows))])
+    return train([(Graph([], *x[:3], []), x[3]) for x in (pickle.loads(r) for r in sorted(r[0] for r in rows))])
 
 
 def _found_batches(model: Model):

@@ -408,7 +408,7 @@ def test_repeated_tokens_agree():
     k = len(pii.LABELS)
     m = pii.Model(np.zeros((pii.FEATURES, k)), np.zeros((k, k)), 3 * np.eye(k))
     m.unary[1, 4] = 8.0
-    g = pii.Graph([(0, 1), (5, 6)], [[1], [2]], [], [(0, 1)])
+    g = pii.Graph([(0, 1), (5, 6)], [[1], [2]], [], [(0, 1)], [False, False])
     p = pii.marginals(g, m)
     assert p[1].argmax() == 4 and p[1, 4] > 0.7
 
