@@ -117,8 +117,9 @@ def stream_alerts_state(sdf: DataFrame, delay: str = "30 days", factor: float =
     rows = sdf.select("user_id", F.unix_date(week_start("tx_date")).cast("bigint").alias("week_day"),
                       (cents * sign).alias("signed"), cents.alias("cents"), F.unix_micros("event_ts").alias("event_us"))
     rows = rows.mapInArrow(_sum_weeks, WEEK_SUMS) \
-        .withColumn("event_ts", F.timestamp_micros("event_us")).drop("event_us").withWatermark("event_ts", delay)
-    return rows.groupBy("user_id").transformWithStateInPandas(
+        .withColumn("event_ts", F.timestamp_micros("event_us")).withWatermark("event_ts", delay)
+    # the watermark is taken from the rows, but late rows must reach the balance: without the time column none is dropped
+    return rows.select("user_id", "week_day", "signed", "cents").groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=WeeklyAlerts(factor), outputStructType=ALERT_OUTPUT, outputMode="Update", timeMode="EventTime")
 
 

@@ -10,9 +10,9 @@ with a Bloom filter over its keys::
 A micro-batch drops its own copies (map-side combine), reads the index rows of its own
 months only, tests its keys against the filters of its own buckets and opens just the
 files whose filter lets one of its keys through; the exact, null-safe comparison (D4)
-then runs against those files.  Files that hold none of the batch's keys are opened with
-probability ``FALSE_HITS`` each, so the work of a batch follows the batch and its
-repeats, not the history.
+then runs against those files.  A key opens a file that does not hold it with probability
+below ``FALSE_HITS``, so what a batch opens follows the batch and its repeats, not the
+history (index rows of its months are still looked at).
 
 Batch ``n`` writes folders named after itself with overwrite and compares only with
 batches below ``n``: a batch replayed after a failure gives the same output.
@@ -36,9 +36,9 @@ from tallyspark.functions.columns import month_label
 from tallyspark.operators.relate import DUP_COLS, drop_known
 
 BUCKETS = 64
-FALSE_HITS = 0.01           # of a filter for a key that its file does not hold
-BITS_PER_KEY, HASHES = 10, 7
-FILE_ROWS = 1_000_000       # rows of one file, so that a filter stays near 1.2 MB
+FALSE_HITS = 1e-6           # of a filter for a key that its file does not hold (a batch asks with thousands of keys)
+BITS_PER_KEY, HASHES = 32, 16
+FILE_ROWS = 500_000         # rows of one file, so that a filter stays near 2 MB
 NO_MONTH = "none"
 
 INDEX = "path string, bucket int, n long, bits binary"
