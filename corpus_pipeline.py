@@ -4,15 +4,15 @@ Every stage takes (spark, docs, sf_dir), works on all documents its predecessor
 kept and returns a DataFrame; ``run`` writes each result as Parquet to the
 shared folder and reads it back, which cuts the lineage, and returns the last.
 
-Defined cases, in every stage: a null id passes the language and privacy stages
-and ends at near-duplicate removal, which needs ids; rows equal in id keep one
-row there (the one of smallest hash of its columns); null or wordless text is
-rejected by the language stage; extra columns are kept; empty tables give empty results.
+Defined cases, in every stage: rows with a null id pass, in all stages but the last as whole rows; rows of
+one id with different texts are judged each by its own text, of equal rows near-duplicate removal keeps one;
+null or wordless text is rejected by the language stage; extra columns are kept, whatever their names (every
+stage carries the row in one struct beside its own columns); empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm import bpe, decontam, langid, neardup, pii
@@ -21,32 +21,55 @@ from tallyspark.llm.common import stored, table
 MIN_LANGUAGE_SHARE = 0.4        # of a document's letters; less is a jumble of languages
 
 
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): the whole row in one struct, so that no stage's column can meet one of the table's."""
+    return docs.select(F.struct(*_columns(docs)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` from the struct, some of them replaced."""
+    return rows.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised main language go; a missing ``lang`` is filled with the prediction."""
     model = langid.fit(docs)
-    rows = langid.label_rows(docs, model)
-    return rows.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= MIN_LANGUAGE_SHARE)) \
-        .withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    rows = langid.label_rows(_packed(docs), model)
+    rows = rows.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= MIN_LANGUAGE_SHARE))
+    return _unpacked(rows, docs, lang=F.coalesce("row.lang", "lang_pred"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays."""
-    kept = neardup.near_duplicates(docs, percent=80).filter("kept").select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id", "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    return rows.withColumn("_nth", F.row_number().over(one)).filter("_nth = 1").select(docs.columns)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays.
+
+    The decision is made on (id, fingerprint of the text's set): of a group the row with the smallest id, of
+    its texts the smallest fingerprint.  Rows without an id are in no group and stay; so do texts without words.
+    """
+    found = stored(neardup.classes(docs, percent=80), "classes")
+    first = F.min(F.struct("doc_id", "fp")).alias("x")
+    kept = found.filter("fp is not null").groupBy("group").agg(first).select("x.doc_id", "x.fp")
+    rows = neardup.fingerprint_rows(_packed(docs))
+    alone = rows.filter("doc_id is null or fp is null").select("row")
+    rest = rows.filter("fp is not null").join(kept, ["doc_id", "fp"], "left_semi")
+    one = Window.partitionBy("doc_id", "fp").orderBy(F.xxhash64("row"))     # repeated rows of one id and text
+    rest = rest.withColumn("nth", F.row_number().over(one)).filter("nth = 1").select("row")
+    return _unpacked(alone.unionByName(rest), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items go."""
     found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return _unpacked(_packed(docs).drop("text").join(found, "doc_id", "left_anti"), docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in angle brackets; ``n_chars`` follows."""
-    rows = pii.mask_rows(docs, pii.fit(docs))
-    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    rows = pii.mask_rows(_packed(docs), pii.fit(docs))
+    return _unpacked(rows, docs, text=F.col("text"), n_chars=F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
