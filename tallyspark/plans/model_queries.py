@@ -9,6 +9,7 @@ tables to the shared checkpoint folder and read it back.
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import SparkSession
@@ -21,6 +22,7 @@ from tallyspark.ml import expense as H3
 from tallyspark.operators import ordered as E
 from tallyspark.operators import quality as Q
 from tallyspark.operators import text as T
+from tallyspark.operators.envelope import KeyRing
 from tallyspark.operators.filters import display_format
 from tallyspark.operators.rollups import expense_categories
 from tallyspark.plans.report import insight_report
@@ -30,7 +32,6 @@ from tallyspark.sources import files as A
 from tallyspark.sources.testdata import audit_events, ledger, notes, source_key, table
 
 AS_OF = "2001-08-01"
-DEMO_KEY = "0123456789abcdef"  # test-only AES key; real keys come from configuration
 
 
 def _split(spark, d):
@@ -184,20 +185,27 @@ def q_masked(spark, d):
     return Q.masked(ledger(spark, d)).select("tx_id", "note")
 
 
+def _key_ring(spark) -> KeyRing:
+    """A ring under two master keys made for this run (real ones come from configuration)."""
+    return KeyRing(spark, _scratch(spark, "keys"), {"first": os.urandom(32), "second": os.urandom(32)})
+
+
 def q_encryption_roundtrip(spark, d):
-    """Encrypt then decrypt notes and amounts; every value must come back."""
-    L = ledger(spark, d).select("tx_id", "note", F.col("amount").cast("string").alias("amount"))
-    enc = Q.encrypt_fields(L, DEMO_KEY)
-    return Q.decrypt_fields(enc, DEMO_KEY)
+    """Notes and amounts encrypted at rest, income under one data key, expense under the next; all come back."""
+    L = ledger(spark, d).select("tx_id", "t_type", "note", F.col("amount").cast("string").alias("amount"))
+    ring, path = _key_ring(spark), _scratch(spark, "encrypted")
+    for kind in ("income", "expense"):
+        ring.encrypt(L.filter(F.col("t_type") == kind)).write.mode("append").parquet(path)
+        ring.rotate()
+    return ring.decrypt(spark.read.parquet(path)).select("tx_id", "note", "amount")
 
 
 def q_encryption_coverage(spark, d):
     """I8: share of notes that decrypt, after encrypting the expense half of the ledger."""
-    L = ledger(spark, d)
-    enc = L.withColumn("note", F.when(F.col("t_type") == "expense",
-                                      F.base64(F.aes_encrypt(F.col("note").cast("binary"), F.lit(DEMO_KEY))))
-                       .otherwise(F.col("category")))
-    return Q.encryption_coverage(enc, DEMO_KEY)
+    L, ring = ledger(spark, d), _key_ring(spark)
+    sealed = ring.encrypt(L.filter(F.col("t_type") == "expense"), ["note"])
+    plain = L.filter(F.col("t_type") == "income").withColumn("note", F.col("category")).withColumn("key_id", F.lit(ring.current()))
+    return ring.coverage(sealed.unionByName(plain))
 
 
 # ---- sources / sinks round trips

@@ -18,6 +18,7 @@ from tallyspark.plans.model_queries import _fitted, _scratch, _split
 from tallyspark.plans.stream_queries import _dirs, _stage_ledger
 from tallyspark.schema import LEDGER_SCHEMA
 from tallyspark.sources import files as A
+from tallyspark.sources.evolving import EvolvingTable
 from tallyspark.sources.headers import read_ledger_folder
 from tallyspark.sources.testdata import households, ledger, source_key, users
 from tallyspark.sources.versioned import VersionedLedger
@@ -80,6 +81,17 @@ def q_csv_folder(spark: SparkSession, d: str) -> DataFrame:
     return read_ledger_folder(spark, path)[0]
 
 
+def q_evolve_at_rest(spark: SparkSession, d: str) -> DataFrame:
+    """A10: users of some households written before the role column, the others after; one column dropped."""
+    table, u = EvolvingTable(spark, _scratch(spark, "evolving")), users(spark, d)
+    table.create({"user_id": "long", "username": "string", "household_id": "long"})
+    table.append(u.filter("household_id < 12"))
+    table.add_column("role", "string", default="user")
+    table.append(u.filter("household_id >= 12"))
+    table.drop_column("household_id")
+    return table.read()
+
+
 # ---- streams
 def q_stream_dedupe_index(spark: SparkSession, d: str) -> DataFrame:
     """J2 with D4: the ledger, then all of it again under other ids in later batches."""
@@ -143,6 +155,7 @@ STORED_QUERIES = {
     "versioned_erase": q_versioned_erase,
     "versioned_history": q_versioned_history,
     "csv_folder": q_csv_folder,
+    "evolve_at_rest": q_evolve_at_rest,
     "stream_dedupe_index": q_stream_dedupe_index,
     "stream_alerts_state": q_stream_alerts_state,
     "stream_monthly": q_stream_monthly,
@@ -163,6 +176,8 @@ def stored_oracle_sql(with_, ledger_cols: str, oracle: dict[str, str]) -> dict[s
             union all select 2, 'append', 'import-expense', count(*) from ledger
             union all select 3, 'erase', null, count(*) from ledger where {kept}""",
         "csv_folder": with_("ledger") + f"select {ledger_cols} from ledger",
+        "evolve_at_rest": with_("users") + """
+            select user_id, username, case when household_id < 12 then 'user' else role end role from users""",
         "stream_dedupe_index": oracle["stream_dedupe_sink"],
         "stream_alerts_state": oracle["stream_alerts"],
         "stream_monthly": oracle["monthly_total"],

@@ -7,12 +7,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import D
 from tallyspark.operators import rollups as C
 from tallyspark.operators.filters import validate
 from tallyspark.operators.relate import DUP_COLS
+from tallyspark.operators.envelope import MASTER_KEY_FILE, KeyRing
 from tallyspark.schema import LEDGER_SCHEMA, RAW_TX_SCHEMA
 from tallyspark.session import ship_package
+from tallyspark.sources.evolving import EvolvingTable
 from tallyspark.sources.headers import read_ledger_folder
 from tallyspark.sources.versioned import VersionedLedger
 from tallyspark.sources.versions import VersionConflict, VersionFiles
@@ -228,4 +229,72 @@ def test_models_survive_the_store(spark, make_ledger, tmp_path):
             store.load("expense", **kw)
     with pytest.raises(ModelNotFound):
         store.load("nothing")
-    assert D("2024-01-01")
+
+
+# ---- I7, I8: wrapped keys
+def test_envelope_encryption(spark, make_ledger, tmp_path):
+    one, two = bytes(range(32)), bytes(range(1, 33))
+    led = make_ledger([(str(i), i % 3, "expense", "a", 5 + i, "2024-01-02", None if i == 3 else f"note {i}") for i in range(6)])
+    ring = KeyRing(spark, str(tmp_path / "keys"), {"m1": one})
+    plain = rows_of(led.select("tx_id", "note", F.col("amount").cast("string")))
+    ring.encrypt(led.filter("tx_id < '3'")).write.parquet(str(tmp_path / "rows"))
+    assert ring.rotate() == 2
+    ring.encrypt(led.filter("tx_id >= '3'")).write.mode("append").parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    assert {r["key_id"] for r in rows.collect()} == {1, 2} and "note 1" not in str(rows.collect())
+    assert rows_of(ring.decrypt(rows).select("tx_id", "note", "amount")) == plain
+    # the data keys move under another master key: the rows stay as they are and still open, also without the old one
+    both = KeyRing(spark, str(tmp_path / "keys"), {"m1": one, "m2": two})
+    assert both.rewrap() == 2 and both.rewrap() == 0
+    new = KeyRing(spark, str(tmp_path / "keys"), {"m2": two})
+    assert rows_of(new.decrypt(rows).select("tx_id", "note", "amount")) == plain
+    with pytest.raises(Exception):      # a wrong master key opens nothing
+        KeyRing(spark, str(tmp_path / "keys"), {"m2": one}).table()
+    # no key in any plan
+    secrets = [bytes(r["data_key"]) for r in new.table().collect()]
+    opened = new.decrypt(rows)
+    plan = opened._jdf.queryExecution().toString()
+    for k in [*secrets, two]:
+        assert k.hex() not in plan.lower() and __import__("base64").b64encode(k).decode() not in plan and str(list(k))[1:30] not in plan
+    # coverage: plain text, foreign key ids and nulls
+    mixed = rows.unionByName(led.limit(2).withColumn("key_id", F.lit(1)).withColumn("amount", F.col("amount").cast("string"))
+                             .withColumn("key_id", F.lit(9)).select(rows.columns))
+    got = new.coverage(mixed, by=[]).first()
+    assert (got["encrypted_share"], got["n"]) == (5 / 7, 7)
+    assert new.decrypt(mixed).filter("key_id = 9 and note is not null").count() == 0
+
+
+def test_master_keys_come_from_configuration(spark, tmp_path):
+    import base64
+    import json
+    with pytest.raises(RuntimeError):
+        KeyRing(spark, str(tmp_path / "k"))
+    (tmp_path / "m.json").write_text(json.dumps({"m": base64.b64encode(bytes(32)).decode()}))
+    spark.conf.set(MASTER_KEY_FILE, str(tmp_path / "m.json"))
+    try:
+        assert KeyRing(spark, str(tmp_path / "k")).current() == 1
+    finally:
+        spark.conf.unset(MASTER_KEY_FILE)
+
+
+# ---- A10: columns change, files stay
+def test_schema_evolution_at_rest(spark, tmp_path):
+    t = EvolvingTable(spark, str(tmp_path / "t"))
+    t.create({"id": "long", "name": "string"})
+    assert t.read().count() == 0 and t.read().columns == ["id", "name"]
+    t.append(spark.createDataFrame([(1, "a"), (2, None)], "id long, name string"))
+    t.add_column("role", "string", default="user")
+    t.append(spark.createDataFrame([("admin", 3, "x"), (None, 4, "y")], "role string, id int, other string"))
+    assert rows_of(t.read()) == rows_of(spark.createDataFrame(
+        [(1, "a", "user"), (2, None, "user"), (3, None, "admin"), (4, None, None)], "id long, name string, role string"))
+    files = sorted(p for p in (tmp_path / "t" / "data").rglob("*.parquet"))
+    t.drop_column("name")
+    t.add_column("name", "int", default="7")        # a new column of the old name: the old values do not come back
+    t.append(spark.createDataFrame([(5, "r", 9)], "id long, role string, name int"))
+    assert rows_of(t.read()) == rows_of(spark.createDataFrame(
+        [(1, "user", 7), (2, "user", 7), (3, "admin", 7), (4, None, 7), (5, "r", 9)], "id long, role string, name int"))
+    assert set(files) <= set((tmp_path / "t" / "data").rglob("*.parquet"))      # nothing was rewritten
+    assert t.read(1).columns == ["id", "name"] and t.read(1).count() == 5
+    for bad in (lambda: t.add_column("ROLE", "string"), lambda: t.drop_column("none")):
+        with pytest.raises(ValueError):
+            bad()
