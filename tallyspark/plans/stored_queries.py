@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyspark.ml import budget as H10
 from tallyspark.ml import category as H8
 from tallyspark.ml import expense as H3
+from tallyspark.ml.budget_sparse import assign_sparse, category_totals, fit_budget_sparse, last_month_totals
 from tallyspark.ml.store import ModelStore
 from tallyspark.operators.relate import DUP_COLS
 from tallyspark.operators.rollups import category_matrix
@@ -125,6 +126,24 @@ def q_stream_monthly(spark: SparkSession, d: str) -> DataFrame:
     return totals.read(spark)
 
 
+# ---- any number of categories
+def q_category_totals(spark: SparkSession, d: str) -> DataFrame:
+    """C11 in sparse form."""
+    return category_totals(ledger(spark, d))
+
+
+def q_last_month_totals(spark: SparkSession, d: str) -> DataFrame:
+    """C12 in sparse form."""
+    return last_month_totals(ledger(spark, d))
+
+
+def q_budget_clusters_notes(spark: SparkSession, d: str) -> DataFrame:
+    """H10 over free text: the notes as categories, fitted on the training part, every month assigned."""
+    train, L = _split(spark, d)[0], ledger(spark, d)
+    by_note = [x.withColumn("category", F.col("note")) for x in (train, L)]
+    return assign_sparse(fit_budget_sparse(by_note[0], n_starts=3), category_totals(by_note[1], by=[]))
+
+
 # ---- models
 def _through_store(spark: SparkSession, d: str, kind: str):
     store = ModelStore(spark, _scratch(spark, "models"))
@@ -159,6 +178,9 @@ STORED_QUERIES = {
     "stream_dedupe_index": q_stream_dedupe_index,
     "stream_alerts_state": q_stream_alerts_state,
     "stream_monthly": q_stream_monthly,
+    "category_totals": q_category_totals,
+    "last_month_totals": q_last_month_totals,
+    "budget_clusters_notes": q_budget_clusters_notes,
     "stored_category": q_stored_category,
     "stored_expense": q_stored_expense,
     "stored_budget": q_stored_budget,
@@ -176,6 +198,13 @@ def stored_oracle_sql(with_, ledger_cols: str, oracle: dict[str, str]) -> dict[s
             union all select 2, 'append', 'import-expense', count(*) from ledger
             union all select 3, 'erase', null, count(*) from ledger where {kept}""",
         "csv_folder": with_("ledger") + f"select {ledger_cols} from ledger",
+        "category_totals": with_("ledger") + """
+            select user_id, strftime(tx_date, '%Y-%m') as month, category, cast(sum(amount) as double) total from ledger
+            where t_type = 'expense' and category is not null and tx_date is not null group by 1, 2, 3""",
+        "last_month_totals": with_("ledger") + """,
+            t as (select user_id, strftime(tx_date, '%Y-%m') as month, category, cast(sum(amount) as double) total from ledger
+                  where t_type = 'expense' and category is not null and tx_date is not null group by 1, 2, 3)
+            select * from t where month = (select max(u.month) from t u where u.user_id = t.user_id)""",
         "evolve_at_rest": with_("users") + """
             select user_id, username, case when household_id < 12 then 'user' else role end role from users""",
         "stream_dedupe_index": oracle["stream_dedupe_sink"],

@@ -298,3 +298,40 @@ def test_schema_evolution_at_rest(spark, tmp_path):
     for bad in (lambda: t.add_column("ROLE", "string"), lambda: t.drop_column("none")):
         with pytest.raises(ValueError):
             bad()
+
+
+# ---- C11, C12, H10: any number of categories
+def test_sparse_clusters_equal_dense_ones(spark, make_ledger):
+    from tallyspark.ml import budget, budget_sparse
+    rnd = random.Random(4)
+    cats = [f"c{i}" for i in range(7)]
+    level = [{"c0": 900, "c1": 20}, {"c2": 300, "c3": 310, "c4": 290}, {"c5": 15, "c1": 25}]         # three kinds of months
+    rows = [(f"{m}-{c}", 1, "expense", c, level[m % 3].get(c, 0) + rnd.randrange(5) if c != "c6" else 3,
+             f"20{20 + m // 12}-{m % 12 + 1:02d}-05") for m in range(30) for c in cats if c == "c6" or c in level[m % 3] or rnd.random() < 0.3]
+    led = make_ledger(rows + [("n", 1, "expense", None, 9, "2020-01-05"), ("i", 1, "income", "c1", 9, "2020-01-05")])
+    dense, sparse = budget.fit_budget(led, cats), budget_sparse.fit_budget_sparse(led)
+    ours = np.array(sorted((np.array(sparse.kmeans.clusterCenters()).sum(axis=1)).tolist()))
+    means = np.array(dense.means) / np.array(dense.stds)        # the dense centres are centred, the sparse ones are not
+    theirs = np.array(sorted(((np.array(dense.kmeans.clusterCenters()) + means).sum(axis=1)).tolist()))
+    assert np.allclose(ours, theirs, rtol=1e-6) and sorted(sparse.meanings) == sorted(dense.meanings)
+    a = {r["month"]: r["cluster"] for r in budget.assign_clusters(dense, C.category_matrix(led, cats, by=[])).collect()}
+    b = {r["month"]: r["cluster"] for r in budget_sparse.assign_sparse(sparse, budget_sparse.category_totals(led, by=[])).collect()}
+    pairs = {(a[m], b[m]) for m in a}
+    assert a.keys() == b.keys() and len(pairs) == len(set(a.values())) == len(set(b.values()))      # same groups, other numbers
+    unknown = make_ledger([("x", 2, "expense", "never seen", 5, "2024-01-05")])
+    assert budget_sparse.assign_sparse(sparse, budget_sparse.category_totals(unknown, by=[])).count() == 1
+    assert budget_sparse.fit_budget_sparse(led.limit(0)) is None
+
+
+def test_hundred_thousand_categories(spark):
+    from tallyspark.ml import budget_sparse
+    led = spark.range(300_000).select(F.col("id").cast("string").alias("tx_id"), F.lit(1).cast("long").alias("user_id"),
+                                      F.lit("expense").alias("t_type"), F.concat(F.lit("note "), F.col("id") % 100_000).alias("category"),
+                                      (F.col("id") % 97 + 1).cast("decimal(18,2)").alias("amount"),
+                                      F.expr("date_add(date'2020-01-01', cast(id % 700 as int))").alias("tx_date"), F.lit(None).cast("string").alias("note"))
+    m = budget_sparse.fit_budget_sparse(led, n_starts=1)
+    assert m.size == 100_000
+    got = budget_sparse.assign_sparse(m, budget_sparse.category_totals(led, by=[]))
+    assert got.count() == 23 and got.filter("cluster is null or advice is null").count() == 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 20_000       # no category list in the plan
