@@ -110,6 +110,23 @@ ORACLE_SQL: dict[str, str] = {
               from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
         select query_id, cast(rank as integer) rank, vec_id, score from r where rank <= 20""",
+    "op9_hyperminhash_neardup": """
+        with recursive d as (
+            select doc_id, list_filter(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') w from documents where doc_id is not null),
+        s as materialized (select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3),
+                                       lambda i: array_to_string(w[i:i + 4], ' ')))
+                                  when len(w) > 0 then [array_to_string(w, ' ')] else [] end g from d),
+        n as (select doc_id, cast(len(g) as bigint) n from s),
+        every as materialized (select doc_id, unnest(g) g from s),
+        e as materialized (select * from every where g in (select g from every group by g having count(*) > 1)),
+        pairs as (select a.doc_id a, b.doc_id b, count(*) c from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by all),
+        links as materialized (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+        sides as (select a, b from links union all select b, a from links),
+        reach as (select doc_id node, doc_id other from n union select r.node, l.b from reach r join sides l on r.other = l.a),
+        low as (select node, min(other) component_id from reach group by 1)
+        select n.doc_id, n.n n_shingles, component_id, n.doc_id = component_id kept from n join low on node = n.doc_id""",
     "op11_cyclic_collocations": """
         with docs as (select row_number() over () d, coalesce(lang, 'und') lang,
                              translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
@@ -117,7 +134,7 @@ ORACLE_SQL: dict[str, str] = {
         lists as (select lang, list_filter(string_split_regex(p, '[\\x20\\x09]+'), lambda x: x <> '') w from pieces),
         grams as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) phrase
                   from lists, (select unnest(range(1, 6)) k) where len(w) >= k),
-        f as (select lang, k, phrase, count(*) a from grams group by all),
+        f as materialized (select lang, k, phrase, count(*) a from grams group by all),
         total as (select lang, sum(a) n from f where k = 1 group by lang),
         c as (select lang, k, phrase, a, string_split(phrase, ' ') w from f where k > 1 and a >= 100),
         cuts as (select c.lang, c.phrase, c.a, x.a l, y.a r, h n, z cut,
