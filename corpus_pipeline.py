@@ -6,8 +6,8 @@ shared folder and reads it back, which cuts the lineage, and returns the last.
 
 Defined cases, in every stage: rows with a null id pass, in all stages but the last as whole rows; rows of
 one id with different texts are judged each by its own text, of equal rows near-duplicate removal keeps one;
-null or wordless text is rejected by the language stage; extra columns are kept, whatever their names (every
-stage carries the row in one struct beside its own columns); empty tables give empty results.
+null or wordless text is rejected by the language stage; extra columns are kept, whatever their names (inside
+a stage the table's columns have names of their own); empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -18,29 +18,36 @@ from pyspark.sql import functions as F
 from tallyspark.llm import bpe, decontam, langid, neardup, pii
 from tallyspark.llm.common import stored, table
 
+ARROW_ROWS = 1000
 MIN_LANGUAGE_SHARE = 0.4        # of a document's letters; less is a jumble of languages
 
 
-def _columns(docs: DataFrame) -> list[Column]:
-    return [F.col(f"`{c}`") for c in docs.columns]
+def _narrow(spark: SparkSession) -> None:
+    """Small Arrow batches: a stage holds a few MB of text at a time, in the executor and in its Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text): the whole row in one struct, so that no stage's column can meet one of the table's."""
-    return docs.select(F.struct(*_columns(docs)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _renamed(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` under names that no stage uses, but for the text; and doc_id as long."""
+    return docs.select(*[F.col(f"`{c}`").alias(_name(docs, c)) for c in docs.columns], F.col("doc_id").cast("long").alias("doc_id"))
 
 
-def _unpacked(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
-    """The columns of ``docs`` from the struct, some of them replaced."""
-    return rows.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+def _name(docs: DataFrame, c: str) -> str:
+    return c if c == "text" else f"column{docs.columns.index(c)}"
+
+
+def _restored(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` again, some of them replaced."""
+    return rows.select(*[changed.get(c, F.col(_name(docs, c))).alias(c) for c in docs.columns])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised main language go; a missing ``lang`` is filled with the prediction."""
+    _narrow(spark)
     model = langid.fit(docs)
-    rows = langid.label_rows(_packed(docs), model)
+    rows = langid.label_rows(_renamed(docs), model)
     rows = rows.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= MIN_LANGUAGE_SHARE))
-    return _unpacked(rows, docs, lang=F.coalesce("row.lang", "lang_pred"))
+    return _restored(rows, docs, lang=F.coalesce(_name(docs, "lang"), "lang_pred"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,31 +56,38 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The decision is made on (id, fingerprint of the text's set): of a group the row with the smallest id, of
     its texts the smallest fingerprint.  Rows without an id are in no group and stay; so do texts without words.
     """
+    _narrow(spark)
     found = stored(neardup.classes(docs, percent=80), "classes")
     first = F.min(F.struct("doc_id", "fp")).alias("x")
-    kept = found.filter("fp is not null").groupBy("group").agg(first).select("x.doc_id", "x.fp")
-    rows = neardup.fingerprint_rows(_packed(docs))
-    alone = rows.filter("doc_id is null or fp is null").select("row")
-    rest = rows.filter("fp is not null").join(kept, ["doc_id", "fp"], "left_semi")
-    one = Window.partitionBy("doc_id", "fp").orderBy(F.xxhash64("row"))     # repeated rows of one id and text
-    rest = rest.withColumn("nth", F.row_number().over(one)).filter("nth = 1").select("row")
-    return _unpacked(alone.unionByName(rest), docs)
+    kept = found.filter("fp is not null").groupBy("group").agg(first).select("x.doc_id", "x.fp", F.lit(True).alias("chosen"))
+    rows = _renamed(docs)
+    alone = rows.filter("doc_id is null")
+    names = alone.columns
+    rows = neardup.fingerprint_rows(rows.filter("doc_id is not null")).join(kept, ["doc_id", "fp"], "left")
+    # repeated rows of one id and text: one stays; rows without words are told apart by a number of their own
+    own = F.when(F.col("fp").isNull(), F.monotonically_increasing_id())
+    one = Window.partitionBy("doc_id", "fp", "own").orderBy(F.xxhash64(*names))
+    rows = rows.filter("fp is null or chosen").withColumn("own", own).withColumn("nth", F.row_number().over(one))
+    return _restored(rows.filter("nth = 1").select(names).unionByName(alone), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items go."""
+    _narrow(spark)
     found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return _unpacked(_packed(docs).drop("text").join(found, "doc_id", "left_anti"), docs)
+    return _restored(_renamed(docs).join(found, "doc_id", "left_anti"), docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in angle brackets; ``n_chars`` follows."""
-    rows = pii.mask_rows(_packed(docs), pii.fit(docs))
-    return _unpacked(rows, docs, text=F.col("text"), n_chars=F.length("text").cast(docs.schema["n_chars"].dataType))
+    _narrow(spark)
+    rows = pii.mask_rows(_renamed(docs), pii.fit(docs))
+    return _restored(rows, docs, text=F.col("text"), n_chars=F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256): the token ids, little-endian unsigned 32-bit."""
+    _narrow(spark)
     encoded = bpe.encode(docs)
     return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
                           F.sha2("ids", 256).alias("ids_sha256"))
