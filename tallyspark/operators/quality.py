@@ -59,7 +59,10 @@ def audit_summary(events: DataFrame) -> DataFrame:
 
 
 def encrypt_fields(df: DataFrame, key: str, cols: Sequence[str] = ("note", "amount")) -> DataFrame:
-    """AES-GCM encrypt columns to base64 text; the key comes from the caller's config."""
+    """AES-GCM encrypt columns to base64 text with one key from the caller.
+
+    The key is a literal of the plan; for data at rest use ``envelope.KeyRing``, whose keys stand in no plan.
+    """
     k = F.lit(key)
     out = df
     for c in cols:

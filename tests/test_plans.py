@@ -17,7 +17,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-SQL_OPS = [n for n in registry.ORACLE_SQL if not n.startswith(("stream_", "csv_", "json_", "append_"))
+SQL_OPS = [n for n in registry.ORACLE_SQL if not n.startswith(("stream_", "csv_", "json_", "append_", "versioned_"))
            and n not in ("note_keywords", "document_keywords", "encryption_roundtrip", "sensitive_columns")]
 
 
@@ -54,6 +54,19 @@ def test_monthly_rollup_has_partial_aggregation(spark):
     assert p.count("HashAggregate") >= 2 and "partial_sum" in p
 
 
+def test_household_summary_broadcasts_no_facts(spark):
+    p = plan(registry.QUERIES["household_summary"](spark, SF_SMALL))
+    assert "ShuffledHashJoin" in p and "Broadcast" not in p
+
+
+def test_drop_known_reads_the_months_of_the_batch(spark):
+    stored = ledger(spark, SF_SMALL, with_month=True)
+    new = B.time_range(stored, "last_3_months", dt.date(2001, 8, 1))
+    p = plan(Rel.drop_known(new, stored))
+    assert p.count("PartitionFilters: [tx_month#") >= 1 or "PartitionFilters: [isnotnull(tx_month" in p
+    assert all("2001-05" in part or "tx_month" not in part for part in p.split("PartitionFilters: ")[1:])
+
+
 def test_enrich_forces_no_broadcast(spark):
     df = Rel.enrich(ledger(spark, SF_SMALL), users(spark, SF_SMALL), households(spark, SF_SMALL))
     assert "ResolvedHint" not in df._jdf.queryExecution().analyzed().toString()
