@@ -19,6 +19,7 @@ from tallyspark.ml import anomaly as H5
 from tallyspark.ml import budget as H10
 from tallyspark.ml import category as H8
 from tallyspark.ml import expense as H3
+from tallyspark.ml import softmax as H8b
 from tallyspark.operators import ordered as E
 from tallyspark.operators import quality as Q
 from tallyspark.operators import text as T
@@ -51,7 +52,7 @@ def _fitted(spark: SparkSession, d: str, kind: str, part: str):
     key = (id(spark), spark.sparkContext.applicationId, source_key(spark, d), kind, part)
     if key not in _MODELS:
         data = _split(spark, d)[0] if part == "train" else ledger(spark, d)
-        fit = {"category": H8.fit_category, "anomaly": H5.fit_anomaly,
+        fit = {"category": H8.fit_category, "softmax": H8b.fit_softmax, "anomaly": H5.fit_anomaly,
                "budget": lambda df: H10.fit_budget(df, expense_categories(df)), "expense": H3.fit_expense}[kind]
         _MODELS[key] = fit(data)
     return _MODELS[key]
@@ -95,6 +96,23 @@ def q_document_language(spark, d):
     return H8.evaluate_category(H8.fit_category(train), test)
 
 
+def q_predict_category_counted(spark, d):
+    """H8 with a counted vocabulary: every expense of the ledger."""
+    return H8b.predict_softmax(_fitted(spark, d, "softmax", "train"), ledger(spark, d).filter(F.col("t_type") == "expense")) \
+        .select("tx_id", "user_id", "category", "predicted")
+
+
+def q_evaluate_category_counted(spark, d):
+    return H8b.evaluate_softmax(_fitted(spark, d, "softmax", "train"), _split(spark, d)[1])
+
+
+def q_document_language_counted(spark, d):
+    docs = notes(spark, d)
+    lab = table(spark, d, "labels").select(F.col("doc_id").alias("user_id"))
+    model = H8b.fit_softmax(docs.join(lab, "user_id", "left_anti"))
+    return H8b.evaluate_softmax(model, docs.join(lab, "user_id", "left_semi"))
+
+
 # ---- expense forest
 def q_predict_expense(spark, d):
     _, test = _split(spark, d)
@@ -243,6 +261,9 @@ MODEL_QUERIES = {
     "suggest_categories": q_suggest_categories,
     "resolve_category": q_resolve_category,
     "document_language": q_document_language,
+    "predict_category_counted": q_predict_category_counted,
+    "evaluate_category_counted": q_evaluate_category_counted,
+    "document_language_counted": q_document_language_counted,
     "predict_expense": q_predict_expense,
     "evaluate_expense": q_evaluate_expense,
     "detect_anomalies": q_detect_anomalies,
