@@ -122,11 +122,13 @@ class Shard:
     def distances(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Exact distances: squares summed dimension by dimension, in order."""
         d = min(self.dims, len(q))
-        total = ((self.columns[:d, rows] - q[:d, None]) ** 2).sum(axis=0) if d > 1 else (self.columns[0, rows] - q[0]) ** 2
+        total = np.zeros(len(rows))
+        for t in range(d):          # one at a time: the order of the additions never depends on how many rows there are
+            total += (self.columns[t, rows] - q[t]) ** 2
         for t in range(d, self.dims):
-            total = total + self.columns[t, rows] ** 2
+            total += self.columns[t, rows] ** 2
         for t in range(d, len(q)):
-            total = total + q[t] ** 2
+            total += q[t] ** 2
         return np.sqrt(total)
 
     def search(self, qid: int, q: np.ndarray, k: int, least: int, ids: np.ndarray, dist: np.ndarray):
