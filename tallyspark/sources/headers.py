@@ -71,10 +71,14 @@ def read_ledger_folder(spark: SparkSession, path: str, user_id: int | None = Non
     bad = spark.createDataFrame(refused, QUARANTINE)
     for columns, paths in groups.items():
         schema = T.StructType([*(T.StructField(c, T.StringType()) for c in columns), T.StructField(_CORRUPT, T.StringType())])
+        # every field of a row is parsed, also where few columns are asked for: else a short row would pass as whole
         rows = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE") \
-            .option("columnNameOfCorruptRecord", _CORRUPT).csv([unquote(p) for p in paths])
-        ledger = ledger.unionByName(_as_ledger(rows.filter(F.col(_CORRUPT).isNull()).drop(_CORRUPT), user_id))
-        bad = bad.unionByName(rows.filter(F.col(_CORRUPT).isNotNull())
+            .option("columnPruning", False).option("columnNameOfCorruptRecord", _CORRUPT).csv([unquote(p) for p in paths])
+        # Spark refuses a query of the corrupt column alone, so nothing (an empty piece) of the first column goes along
+        none = F.substring(F.coalesce(F.col(f"`{columns[0]}`"), F.lit("")), 1, 0)
+        misfit = F.concat(F.col(_CORRUPT), none)
+        ledger = ledger.unionByName(_as_ledger(rows.filter(misfit.isNull()).drop(_CORRUPT), user_id))
+        bad = bad.unionByName(rows.filter(misfit.isNotNull())
                               .select(F.col("_metadata.file_path").alias("path"), F.lit("fields do not fit the header").alias("reason"),
-                                      F.col(_CORRUPT).alias("row")))
+                                      misfit.alias("row")))
     return ledger, bad
