@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -80,3 +81,28 @@ def test_bounded_vocabulary_and_odd_notes(spark, make_ledger):
     assert softmax.fit_softmax(led.limit(0)) is None
     one = softmax.fit_softmax(led.filter("category = 'food'"))
     assert {r["predicted"] for r in softmax.predict_softmax(one, led).collect()} == {"food"}
+
+
+def test_rows_without_arrow_conversion_and_long_notes(spark, make_ledger):
+    """Sessions that convert row by row refuse numpy numbers; a long note costs time in proportion to its length."""
+    before = spark.conf.get("spark.sql.execution.arrow.pyspark.enabled")
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    try:
+        long_note = " ".join(f"w{i}" for i in range(20_000))
+        led = make_ledger([*rows(20), ("l", 1, "expense", "home", 5, "2024-01-05", long_note)])
+        start = time.time()
+        m = softmax.fit_softmax(led)
+        got = {r["tx_id"]: r["predicted"] for r in softmax.predict_softmax(m, led).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", before)
+    assert len(got) == 21 and got["l"] == "home" and time.time() - start < 120
+
+
+def test_gradient_sums_of_many_classes():
+    rnd = np.random.default_rng(1)
+    place, x = np.sort(rnd.integers(0, 9, 50)), rnd.normal(size=(50, 40))
+    place = place[place != 4]
+    want = np.zeros((9, 40))
+    np.add.at(want, place, x[:len(place)])
+    assert np.allclose(softmax._sums(place, x[:len(place)], 9), want)
+    assert np.allclose(softmax._sums(place, x[:len(place), :3], 9), want[:, :3])
