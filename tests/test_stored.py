@@ -336,3 +336,85 @@ def test_hundred_thousand_categories(spark):
     assert got.count() == 23 and got.filter("cluster is null or advice is null").count() == 0
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 20_000       # no category list in the plan
+
+
+def test_alert_processor_makes_few_state_requests():
+    """One read, one write and one timer for a user's batch, however many weeks it holds."""
+    import pandas as pd
+    from tallyspark.streaming.alerts_state import WeeklyAlerts
+
+    class Handle:
+        def __init__(self):
+            self.value, self.calls = None, []
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, v):
+            self.calls.append("update")
+            self.value = v
+
+        def registerTimer(self, at):
+            self.calls.append(("timer", at))
+
+        def deleteTimer(self, at):
+            self.calls.append(("delete", at))
+
+    class At:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+        def getExpiryTimeInMs(self):
+            return self.ms
+
+    week = 7 * 86_400_000
+    h, p = Handle(), WeeklyAlerts(1.3)
+    p.init(h)
+    pdf = pd.DataFrame({"week_day": [4.0 + 7 * i for i in range(200)] + [None], "signed": [-100] * 201, "cents": [100] * 201})
+    out = list(p.handleInputRows((1,), iter([pdf]), At(0)))[0].iloc[0]
+    assert out["n_weeks"] == 200 and out["balance"] == -201.0 and out["mean_prev"] == 1.0 and not out["alert"]
+    end = 4 * 86_400_000 + week
+    assert h.calls == ["get", ("timer", end), "update"]
+    list(p.handleExpiredTimer((1,), At(end + 150 * week), At(end)))     # all weeks closed by the watermark, next timer set
+    assert h.value[2] == 151 and h.calls[3:] == ["get", ("timer", end + 151 * week), "update"]
+    late = pd.DataFrame({"week_day": [4.0], "signed": [-50], "cents": [50]})
+    out = list(p.handleInputRows((1,), iter([late]), At(end + 150 * week)))[0].iloc[0]
+    assert out["balance"] == -201.5 and out["n_weeks"] == 200 and out["mean_prev"] == 1.0
+
+
+def test_staged_streams_are_not_written_by_one_task(spark, monkeypatch):
+    """The replayed files follow the ledger's scan, in three micro-batches or so."""
+    from pyspark.sql import DataFrame
+    from conftest import SF_SMALL
+    from tallyspark.plans import stored_queries as S
+    monkeypatch.setattr(DataFrame, "coalesce", lambda self, n: pytest.fail("gathered into few tasks") if "tx_id" in self.columns else self)
+    asked = []
+    monkeypatch.setattr(S.J, "run_available", lambda sdf, *a, **k: asked.append(sdf))
+    seen = []
+    real = S.J.read_ledger_stream
+    monkeypatch.setattr(S.J, "read_ledger_stream", lambda sp, path, schema, max_files_per_trigger=None: (
+        seen.append((len(sp.read.parquet(path).inputFiles()), max_files_per_trigger)), real(sp, path, schema, max_files_per_trigger))[1])
+    for q in (S.q_stream_monthly, S.q_stream_dedupe_index):
+        try:
+            q(spark, SF_SMALL)
+        except Exception:       # nothing was drained: the sink is empty
+            pass
+    parts = S.ledger(spark, SF_SMALL).rdd.getNumPartitions()
+    assert len(asked) == 2 and seen[0] == (3 * parts, parts) and seen[1][0] >= parts
+
+
+def test_coverage_counts_like_a_filter_on_the_field(spark, tmp_path):
+    from tallyspark.operators.envelope import KeyRing
+    ring = KeyRing(spark, str(tmp_path / "ring"), {"m": b"k" * 32})
+    rows = spark.createDataFrame([(1, "a"), (1, None), (2, None), (3, "b"), (3, "c")], "user_id long, note string")
+    got = ring.coverage(ring.encrypt(rows, ["note"]))
+    assert sorted(map(tuple, got.collect())) == [(1, 1.0, 1), (3, 1.0, 2)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter isnotnull(base64" not in plan and not any("Filter" in x and "encode" in x for x in plan.split("\n"))
