@@ -98,11 +98,12 @@ def q_stream_dedupe_index(spark: SparkSession, d: str) -> DataFrame:
     """J2 with D4: the ledger, then all of it again under other ids in later batches."""
     src, ck, out = _dirs(spark, "dedupe-index")
     L = ledger(spark, d)
-    L.coalesce(2).write.parquet(src)
+    L.write.parquet(src)        # in as many files as the ledger's scan has tasks; the first copy comes in two batches
+    n_first = len(spark.read.parquet(src).inputFiles())
     again = L.withColumn("tx_id", F.concat(F.lit("R-"), F.col("tx_id")))
-    again.coalesce(1).write.mode("append").parquet(src)
+    again.write.mode("append").parquet(src)
     sink = DedupeIndex(out, buckets=8)
-    sdf = J.read_ledger_stream(spark, src, LEDGER_SCHEMA, max_files_per_trigger=1)
+    sdf = J.read_ledger_stream(spark, src, LEDGER_SCHEMA, max_files_per_trigger=max(1, -(-n_first // 2)))
     J.run_available(sdf.drop("event_ts"), ck, sink.write)
     return sink.read(spark, LEDGER_SCHEMA).select(*DUP_COLS)
 
@@ -120,9 +121,12 @@ def q_stream_alerts_state(spark: SparkSession, d: str) -> DataFrame:
 def q_stream_monthly(spark: SparkSession, d: str) -> DataFrame:
     """J5 with C8: the stored rollup after three micro-batches."""
     src, ck, out = _dirs(spark, "monthly")
-    ledger(spark, d).repartition(3, "tx_id").write.parquet(src)
+    L = ledger(spark, d)        # each third in as many files as the ledger's scan has tasks
+    L.repartition(3 * L.rdd.getNumPartitions(), "tx_id").write.parquet(src)
+    n_files = len(spark.read.parquet(src).inputFiles())
     totals = MonthlyTotals(out, buckets=4)
-    J.run_available(J.read_ledger_stream(spark, src, LEDGER_SCHEMA, max_files_per_trigger=1).drop("event_ts"), ck, totals.write)
+    sdf = J.read_ledger_stream(spark, src, LEDGER_SCHEMA, max_files_per_trigger=max(1, -(-n_files // 3)))
+    J.run_available(sdf.drop("event_ts"), ck, totals.write)
     return totals.read(spark)
 
 
