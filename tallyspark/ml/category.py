@@ -46,7 +46,8 @@ def fit_category(df: DataFrame, max_iter: int = 1000) -> PipelineModel:
     """H8: fit on rows with both note and category."""
     train = labelled_notes(df).select("note", "category")
     feats = Pipeline(stages=_featurizer()).fit(train)
-    tf = feats.transform(train).cache()
+    # kept for the iterations: the counts alone, not the texts, words and word pairs they were made from
+    tf = feats.transform(train).select("category", "_tf").cache()
     n = tf.count()
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(tf)
     scale = DenseVector(idf.idf.toArray() + 1.0)
