@@ -34,6 +34,7 @@ from tallyspark.schema import ADVICE_MIN_ROWS, EXPENSE
 K = 3
 N_STARTS = 10
 SEED = 42
+ROWS_PER_TASK = 10_000
 ADVICE_HEAVY = "💡 You spend heavily in one category. Set a cap for it to free up savings."
 ADVICE_BALANCED = "✅ Your spending is balanced across categories. Maintain at least 20% savings."
 ADVICE_IRREGULAR = "⚠ You have irregular big expenses. Build an emergency fund to stay safe."
@@ -61,6 +62,11 @@ def _std_cols(cats: Sequence[str], means: Sequence[float], stds: Sequence[float]
             for i, (c, m, s) in enumerate(zip(cats, means, stds))]
 
 
+def few_parts(n: int) -> int:
+    """Partitions for n month vectors: every task of every k-means step answers the driver, so few rows need few tasks."""
+    return 1 + n // ROWS_PER_TASK
+
+
 def fit_budget(df: DataFrame, cats: Sequence[str], k: int = K, n_starts: int = N_STARTS,
                seed: int = SEED) -> BudgetModel | None:
     """K-means over the standardised month x category matrix of the whole input."""
@@ -76,7 +82,7 @@ def fit_budget(df: DataFrame, cats: Sequence[str], k: int = K, n_starts: int = N
     means = [float(stats[f"m{i}"]) for i in range(len(cats))]
     stds = [float(stats[f"s{i}"]) or 1.0 for i in range(len(cats))]
     z = VectorAssembler(inputCols=[f"_z{i}" for i in range(len(cats))], outputCol="features") \
-        .transform(m.select(*_std_cols(cats, means, stds))).cache()
+        .transform(m.select(*_std_cols(cats, means, stds))).coalesce(few_parts(n)).cache()
     kk = max(1, min(k, n))
     best = None
     for s in range(n_starts):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.columns import keys, month_label
-from tallyspark.ml.budget import K, N_STARTS, SEED, _meanings
+from tallyspark.ml.budget import K, N_STARTS, SEED, _meanings, few_parts
 from tallyspark.schema import EXPENSE
 from tallyspark.session import checkpoint_dir
 
@@ -82,7 +82,7 @@ def fit_budget_sparse(df: DataFrame, k: int = K, n_starts: int = N_STARTS, seed:
             .orderBy("category").rdd.zipWithIndex().map(lambda r: (r[0][0], int(r[1]), r[0][1], r[0][2])) \
             .toDF("category string, i int, std double, mean double").checkpoint()       # the model's own table
         size = numbered.count()
-        z = _vectors(totals, numbered.select("category", "i", "std"), size, ["month"]).persist()
+        z = _vectors(totals, numbered.select("category", "i", "std"), size, ["month"]).coalesce(few_parts(n)).persist()
         best = None
         for s in range(n_starts):
             model = KMeans(k=max(1, min(k, n)), seed=seed + s, maxIter=300, tol=1e-4, initMode="k-means||").fit(z)
