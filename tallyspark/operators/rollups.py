@@ -159,11 +159,18 @@ def category_matrix(df: DataFrame, cats: Sequence[str], by: Sequence[str] | None
 
 
 def last_month_matrix(df: DataFrame, cats: Sequence[str], by: Sequence[str] | None = None) -> DataFrame:
-    """The C11 row of each key's last month that has expenses."""
+    """The C11 row of each key's last month that has expenses.
+
+    The last month is found first, so the wide rows are made of that month alone, one per key.
+    """
     k = keys(by)
-    m = category_matrix(df, cats, by)
-    w = Window.partitionBy(*k) if k else Window.partitionBy()
-    return m.withColumn("_last", F.max("month").over(w)).filter("month = _last").drop("_last")
+    rows = df.filter((F.col("t_type") == EXPENSE) & F.col("tx_date").isNotNull())
+    last = rows.groupBy(*k).agg(F.max("tx_date").alias("_last")).select(*[F.col(f"`{c}`").alias(f"_key{i}") for i, c in enumerate(k)], "_last")
+    same = F.lit(True)
+    for i, c in enumerate(k):
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"_key{i}"))
+    in_last = month_label() == month_label("_last")
+    return category_matrix(rows.join(last, same & in_last, "left_semi"), cats, by)
 
 
 def category_share(df: DataFrame, by: Sequence[str] | None = None) -> DataFrame:

@@ -96,10 +96,12 @@ def insight_report(df: DataFrame, by: Sequence[str] | None = None,
     if not k:
         df, k = df.withColumn("_all", F.lit(0)), ["_all"]
     # one shared daily rollup (key, date, type, category): every part below is a
-    # sum over it, so the ledger is scanned once and what is kept is rollup-sized
+    # sum over it, so the ledger is scanned once and what is kept is rollup-sized;
+    # it is dealt by key once, so the parts and their joins find its rows together
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = (df.groupBy(*k, "tx_date", "t_type", "category")
             .agg(F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("n"))
-            .persist(StorageLevel.MEMORY_AND_DISK))
+            .repartition(n_parts, *k).persist(StorageLevel.MEMORY_AND_DISK))
     s = summary_stats(base, k)
     shares = (base.filter(F.col("category").isNotNull()).groupBy(*k, "category").agg(F.sum("n").alias("n"))
               .withColumn("share", F.col("n").cast("double")

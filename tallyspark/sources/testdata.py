@@ -77,9 +77,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ledger_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact table as a view: one row per order (income) and per line item (expense).
 
-    lineitem x orders is a key/foreign-key join on the order key and
-    lineitem x part one on the part key; both are left to the planner
-    (sort-merge at scale, broadcast by AQE when a side turns out small).
+    lineitem x orders is a key/foreign-key join on the order key, with a hash
+    table of each partition's orders, so that the line items are neither sorted
+    nor spilled; lineitem x part, on the part key, is left to the planner
+    (sort-merge at scale, broadcast when the parts turn out small).
     """
     orders = table(spark, sf_dir, "orders")
     income = orders.select(
@@ -96,7 +97,7 @@ def ledger_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_name")
     price = F.col("l_extendedprice").cast(MONEY)
     expense = (
-        li.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+        li.join(orders.select("o_orderkey", "o_custkey").hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .select(
             F.concat_ws("-", F.lit("L"), F.col("l_orderkey").cast("string"),
