@@ -278,7 +278,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     m = m.join(_linkable(sets.join(m.select("rep").distinct(), "rep", "left_semi"), percent), "rep")
     rest = m.join(_divided(m), "band").join(regs, "rep")
     more = stored(_confirmed(_across(rest, bound, percent), sets, percent), "links")
-    label = components(links.unionByName(more))
+    found = label.select(F.col("node").alias("a"), F.col("component").alias("b"))    # stands for its links: a few rounds less
+    label = components(found.unionByName(more))
 
     # a component is named by the smallest id of its rows
     named = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left") \
