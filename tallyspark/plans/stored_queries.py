@@ -16,7 +16,7 @@ from tallyspark.ml.store import ModelStore
 from tallyspark.operators.relate import DUP_COLS
 from tallyspark.operators.rollups import category_matrix
 from tallyspark.plans.model_queries import _fitted, _scratch, _split
-from tallyspark.plans.stream_queries import _dirs, _stage_ledger
+from tallyspark.plans.stream_queries import _dirs, _ledger_stream
 from tallyspark.schema import LEDGER_SCHEMA
 from tallyspark.sources import files as A
 from tallyspark.sources.evolving import EvolvingTable
@@ -110,10 +110,9 @@ def q_stream_dedupe_index(spark: SparkSession, d: str) -> DataFrame:
 
 def q_stream_alerts_state(spark: SparkSession, d: str) -> DataFrame:
     """J6 as a stateful processor."""
-    src, ck, out = _dirs(spark, "alerts-state")
-    _stage_ledger(spark, d, src)
+    _, ck, out = _dirs(spark, "alerts-state")
     with rocksdb(spark):
-        J.run_available(stream_alerts_state(J.read_ledger_stream(spark, src, LEDGER_SCHEMA)), ck, J.write_batches(out),
+        J.run_available(stream_alerts_state(_ledger_stream(spark, d)), ck, J.write_batches(out),
                         output_mode="update")
     return J.read_latest(spark, out, ["user_id"])
 

@@ -1,7 +1,7 @@
 """Registered streaming queries (J1-J6): replay tables as files, drain, read the sink.
 
-Each query stages rows derived from the driver tables as parquet files in the
-shared checkpoint folder, runs the streaming job with an ``availableNow``
+Each query streams the files of the stored ledger, or rows derived from the driver tables
+that it stages as parquet files in the shared checkpoint folder, runs the streaming job with an ``availableNow``
 trigger (checkpointed, so a rerun resumes instead of repeating), and returns
 the drained sink.  After the drain the sink must equal the batch answer of
 the same operator, which is what the SQL twins state.
@@ -18,7 +18,7 @@ from tallyspark.operators import filters as B
 from tallyspark.operators.relate import DUP_COLS
 from tallyspark.schema import LEDGER_SCHEMA
 from tallyspark.session import checkpoint_dir
-from tallyspark.sources.testdata import ledger
+from tallyspark.sources.testdata import finished_build, ledger, stored_ledger_path
 from tallyspark.streaming import jobs as J
 
 AS_OF = "2001-08-01"
@@ -29,8 +29,11 @@ def _dirs(spark: SparkSession, name: str) -> tuple[str, str, str]:
     return f"{base}/in", f"{base}/ckpt", f"{base}/out"
 
 
-def _stage_ledger(spark, d, src) -> None:
-    ledger(spark, d).write.parquet(src)
+def _ledger_stream(spark, d, **options) -> DataFrame:
+    """The stored ledger's own files as a stream: every row once, without a copy of them."""
+    ledger(spark, d)
+    stored = finished_build(spark, stored_ledger_path(spark, d))
+    return J.read_ledger_stream(spark, stored, LEDGER_SCHEMA, **options).select(*LEDGER_SCHEMA.fieldNames(), "event_ts")
 
 
 def q_stream_validate(spark: SparkSession, d: str) -> DataFrame:
@@ -71,17 +74,15 @@ def q_stream_dedupe_sink(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_stream_weekly(spark: SparkSession, d: str) -> DataFrame:
-    src, ck, out = _dirs(spark, "weekly")
-    _stage_ledger(spark, d, src)
-    sdf = J.stream_weekly(J.read_ledger_stream(spark, src, LEDGER_SCHEMA))
+    _, ck, out = _dirs(spark, "weekly")
+    sdf = J.stream_weekly(_ledger_stream(spark, d))
     J.run_available(sdf, ck, J.write_batches(out), output_mode="update")
     return J.read_latest(spark, out, ["user_id", "week"])
 
 
 def q_stream_alerts(spark: SparkSession, d: str) -> DataFrame:
-    src, ck, out = _dirs(spark, "alerts")
-    _stage_ledger(spark, d, src)
-    sdf = J.stream_alerts(J.read_ledger_stream(spark, src, LEDGER_SCHEMA))
+    _, ck, out = _dirs(spark, "alerts")
+    sdf = J.stream_alerts(_ledger_stream(spark, d))
     J.run_available(sdf, ck, J.write_batches(out), output_mode="update")
     return J.read_latest(spark, out, ["user_id"])
 

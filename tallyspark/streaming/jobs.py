@@ -17,6 +17,9 @@ replaces its own output (exactly-once together with the checkpoint).
 * J6 ``stream_alerts``     per-user running balance and weekly alert kept in
   state (``applyInPandasWithState``); weeks older than the watermark are
   folded into a sum and a count, so state per user stays a few numbers.
+  Users are kept in ``USER_GROUPS`` books, one state value each, as a call of
+  Python for every user costs far more than its rows; a book's users are worked
+  on together in numpy.
   Rows are summed per (user, week) inside their task before the shuffle, so a
   user with a large share of a batch sends a few rows.  The balance holds every
   row, late and undated ones too; a row whose week closed before the current
@@ -28,10 +31,12 @@ replaces its own output (exactly-once together with the checkpoint).
 from __future__ import annotations
 
 import datetime as dt
-import json
 import sys
+import zlib
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -189,12 +194,9 @@ def read_latest(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame
 
 
 # ------------------------------------------------------------------ J6
-ALERT_STATE = T.StructType([
-    T.StructField("balance_cents", T.LongType()),
-    T.StructField("folded_cents", T.LongType()),
-    T.StructField("folded_weeks", T.LongType()),
-    T.StructField("weeks", T.StringType()),        # JSON {monday epoch day: cents} of open weeks
-])
+USER_GROUPS = 1 << 14       # books of users; a batch rewrites the books that it has rows of
+NO_WEEK = -(1 << 40)
+ALERT_STATE = T.StructType([T.StructField("book", T.BinaryType())])
 ALERT_OUTPUT = T.StructType([
     T.StructField("user_id", T.LongType()),
     T.StructField("balance", T.DoubleType()),
@@ -237,44 +239,109 @@ def alert_row(user_id, balance: int, n_prev: int, prev_cents: int, last_day: int
     return pd.DataFrame([row], columns=ALERT_OUTPUT.names)
 
 
-def _alerts_fn(factor: float):
+@dataclass
+class Book:
+    """Totals and open weeks of several users."""
+    users: np.ndarray           # ascending
+    totals: np.ndarray          # (users, 3): balance, sum and number of folded weeks
+    owner: np.ndarray           # of every open week, in order of owner and day: the user's place
+    day: np.ndarray
+    cents: np.ndarray
+
+    @classmethod
+    def unpack(cls, raw: bytes | None) -> Book:
+        if raw is None:
+            return cls(*[np.zeros(n, dtype=np.int64) for n in (0, (0, 3), 0, 0, 0)])
+        x = np.frombuffer(zlib.decompress(raw), dtype=np.int64)
+        n, w = int(x[0]), int(x[1])
+        parts = np.split(x[2:], np.cumsum([n, 3 * n, w, w]))
+        return cls(parts[0], parts[1].reshape(n, 3), *parts[2:])
+
+    def pack(self) -> bytes:
+        head = np.array([len(self.users), len(self.day)])
+        return zlib.compress(np.concatenate([head, self.users, self.totals.ravel(), self.owner, self.day, self.cents]).astype(np.int64).tobytes(), 1)
+
+    def add(self, users: np.ndarray, signed: np.ndarray, day: np.ndarray, cents: np.ndarray, watermark_ms: int) -> Book:
+        """With more rows; the balance holds every row, weeks that closed before the watermark stay as they are (J5 too)."""
+        known, place = np.unique(np.concatenate([self.users, users]), return_inverse=True)
+        old, new = place[:len(self.users)], place[len(self.users):]
+        totals = np.zeros((len(known), 3), dtype=np.int64)
+        totals[old] = self.totals
+        np.add.at(totals[:, 0], new, signed)
+        dated = day != NO_WEEK
+        if watermark_ms > 0:
+            dated &= day * DAY_MS + WEEK_MS > watermark_ms
+        owner, day = np.concatenate([old[self.owner], new[dated]]), np.concatenate([self.day, day[dated]])
+        cents = np.concatenate([self.cents, cents[dated]])
+        order = np.lexsort((day, owner))
+        owner, day, cents = owner[order], day[order], cents[order]
+        first = np.flatnonzero(np.diff(owner, prepend=-1) | np.diff(day, prepend=NO_WEEK))
+        return Book(known, totals, owner[first], day[first], np.add.reduceat(cents, first) if len(first) else cents).folded(watermark_ms)
+
+    def newest(self) -> np.ndarray:
+        return np.diff(self.owner, append=-1) != 0
+
+    def folded(self, until_ms: int) -> Book:
+        """Weeks that ended at ``until_ms`` or before go to the totals, except every user's newest."""
+        closed = ~self.newest() & (self.day * DAY_MS + WEEK_MS <= until_ms) if until_ms > 0 else np.zeros(len(self.day), dtype=bool)
+        totals = self.totals.copy()
+        np.add.at(totals[:, 1], self.owner[closed], self.cents[closed])
+        np.add.at(totals[:, 2], self.owner[closed], 1)
+        return Book(self.users, totals, self.owner[~closed], self.day[~closed], self.cents[~closed])
+
+    def first_end(self) -> int:
+        """End of the first open week that is not its user's newest, in ms; 0 without one."""
+        closing = self.day[~self.newest()]
+        return int(closing.min()) * DAY_MS + WEEK_MS if len(closing) else 0
+
+    def rows(self, users: np.ndarray, factor: float, nobody: bool) -> pd.DataFrame:
+        """Output of J6 for these users, as far as they have weeks; ``nobody``: for the rows without a user."""
+        last = np.flatnonzero(self.newest())
+        last = last[np.isin(self.users[self.owner[last]], users)]
+        at = self.owner[last]
+        sums = np.zeros(len(self.users), dtype=np.int64)
+        np.add.at(sums, self.owner, self.cents)
+        n_prev = self.totals[at, 2] + np.bincount(self.owner, minlength=len(self.users))[at] - 1
+        last_total = self.cents[last] / 100.0
+        mean = np.where(n_prev > 0, (self.totals[at, 1] + sums[at] - self.cents[last]) / 100.0 / np.maximum(n_prev, 1), np.nan)
+        alert = np.where(n_prev > 0, last_total > mean * factor, None)
+        return pd.DataFrame({"user_id": [None] * len(at) if nobody else self.users[at], "balance": self.totals[at, 0] / 100.0, "n_weeks": n_prev + 1,
+                             "last_week": self.day[last].astype("datetime64[D]").astype(object), "last_total": last_total, "mean_prev": mean,
+                             "alert": alert}, columns=ALERT_OUTPUT.names)
+
+
+def booked(rows: DataFrame, books: int) -> DataFrame:
+    """Week sums with the book of their user; those without a user have a book of their own, the one beyond the last."""
+    return rows.withColumn("book", F.coalesce(F.when(F.col("user_id").isNotNull(), F.pmod(F.xxhash64("user_id"), F.lit(books))), F.lit(books)).cast("long")) \
+        .withColumn("user_id", F.coalesce("user_id", F.lit(0).cast("long"))).withColumn("week_day", F.coalesce("week_day", F.lit(NO_WEEK)))
+
+
+def batch_columns(batches: Iterator[pd.DataFrame]) -> list[np.ndarray]:
+    """Users, signed and plain cents and weeks of a book's rows in this batch."""
+    parts = [[pdf[c].to_numpy(dtype=np.int64) for c in ("user_id", "signed", "week_day", "cents")] for pdf in batches]
+    return [np.concatenate(p) for p in zip(*parts)]
+
+
+def _alerts_fn(factor: float, books: int):
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (user_id,) = key
-        if state.exists:
-            bal, fsum, fcnt, weeks_js = state.get
-            weeks = {int(k): int(v) for k, v in json.loads(weeks_js).items()}
-        else:
-            bal, fsum, fcnt, weeks = 0, 0, 0, {}
-        wm = state.getCurrentWatermarkMs()
-        for pdf in batches:
-            bal += int(pdf["signed"].sum())     # every row, however late, dated or not
-            for w, c in week_sums(pdf, wm):
-                weeks[w] = weeks.get(w, 0) + c
-        # fold weeks that closed before the watermark, keeping the newest week open
-        if weeks and wm and wm > 0:
-            newest = max(weeks)
-            for w in [w for w in weeks if w != newest and (w * DAY_MS + WEEK_MS) <= wm]:
-                fsum += weeks.pop(w)
-                fcnt += 1
-        state.update((bal, fsum, fcnt, json.dumps({str(k): v for k, v in weeks.items()})))
-        if not weeks:
-            return
-        last = max(weeks)
-        yield alert_row(user_id, bal, fcnt + len(weeks) - 1, fsum + sum(v for w, v in weeks.items() if w != last), last, weeks[last], factor)
+        users, signed, day, cents = batch_columns(batches)
+        book = Book.unpack(bytes(state.get[0]) if state.exists else None).add(users, signed, day, cents, state.getCurrentWatermarkMs())
+        state.update((book.pack(),))
+        yield book.rows(users, factor, key[0] == books)
     return update
 
 
-def stream_alerts(sdf: DataFrame, delay: str = "30 days", factor: float = WEEKLY_ALERT_FACTOR) -> DataFrame:
+def stream_alerts(sdf: DataFrame, delay: str = "30 days", factor: float = WEEKLY_ALERT_FACTOR, books: int = USER_GROUPS) -> DataFrame:
     """Per user running balance (income - expense) and the weekly alert, in update mode."""
     cents = F.coalesce((F.col("amount") * 100).cast("bigint"), F.lit(0).cast("bigint"))
     sign = F.when(F.col("t_type") == INCOME, 1).when(F.col("t_type") == EXPENSE, -1).otherwise(0)
     rows = sdf.select(
         "user_id", F.unix_date(week_start("tx_date")).cast("bigint").alias("week_day"),
         (cents * sign).alias("signed"), cents.alias("cents"), F.unix_micros("event_ts").alias("event_us"))
-    rows = rows.mapInArrow(_sum_weeks, WEEK_SUMS) \
+    rows = booked(rows.mapInArrow(_sum_weeks, WEEK_SUMS), books) \
         .withColumn("event_ts", F.timestamp_micros("event_us")).drop("event_us").withWatermark("event_ts", delay)
-    return rows.groupBy("user_id").applyInPandasWithState(
-        _alerts_fn(factor), ALERT_OUTPUT, ALERT_STATE, "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("book").applyInPandasWithState(
+        _alerts_fn(factor, books), ALERT_OUTPUT, ALERT_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 # ------------------------------------------------------------------ running
