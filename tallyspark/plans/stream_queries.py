@@ -101,12 +101,10 @@ def q_stream_categorise(spark: SparkSession, d: str) -> DataFrame:
 
 def q_stream_flag(spark: SparkSession, d: str) -> DataFrame:
     from tallyspark.plans.model_queries import _fitted
-    src, ck, out = _dirs(spark, "flag")
-    L = ledger(spark, d)
+    _, ck, out = _dirs(spark, "flag")
     model = _fitted(spark, d, "anomaly", "train")
-    L.write.parquet(src)
-    sdf = J.stream_flag(J.read_ledger_stream(spark, src, LEDGER_SCHEMA), model)
-    J.run_available(sdf, ck, J.write_batches(out))
+    flags = J.stream_flag(_ledger_stream(spark, d), model).select("tx_id", "user_id", "amount", "score", "anomaly")
+    J.run_available(flags, ck, J.write_batches(out, compression="zstd"))     # the sink holds the flags by transaction, not the ledger again
     return spark.read.parquet(out).select("tx_id", "user_id", "amount", "score", "anomaly")
 
 

@@ -178,10 +178,10 @@ def stream_weekly(sdf: DataFrame, delay: str = "30 days", by: Sequence[str] | No
                     "total"))
 
 
-def write_batches(path: str):
+def write_batches(path: str, **options):
     """``foreachBatch`` writer keeping every batch's update under ``batch=N`` (idempotent)."""
     def _write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.write.options(**options).mode("overwrite").parquet(f"{path}/batch={batch_id}")
     return _write
 
 
