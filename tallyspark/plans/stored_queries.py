@@ -96,15 +96,16 @@ def q_evolve_at_rest(spark: SparkSession, d: str) -> DataFrame:
 # ---- streams
 def q_stream_dedupe_index(spark: SparkSession, d: str) -> DataFrame:
     """J2 with D4: the ledger, then all of it again under other ids in later batches."""
-    src, ck, out = _dirs(spark, "dedupe-index")
-    L = ledger(spark, d)
-    L.write.parquet(src)        # in as many files as the ledger's scan has tasks; the first copy comes in two batches
-    n_first = len(spark.read.parquet(src).inputFiles())
-    again = L.withColumn("tx_id", F.concat(F.lit("R-"), F.col("tx_id")))
-    again.write.mode("append").parquet(src)
+    _, ck, out = _dirs(spark, "dedupe-index")
     sink = DedupeIndex(out, buckets=8)
-    sdf = J.read_ledger_stream(spark, src, LEDGER_SCHEMA, max_files_per_trigger=max(1, -(-n_first // 2)))
-    J.run_available(sdf.drop("event_ts"), ck, sink.write)
+    n_files = len(ledger(spark, d).inputFiles())        # every copy comes in two batches
+    for copy in ("first", "again"):
+        sdf = _ledger_stream(spark, d, max_files_per_trigger=max(1, -(-n_files // 2))).drop("event_ts")
+        start = 0
+        if copy == "again":
+            sdf = sdf.withColumn("tx_id", F.concat(F.lit("R-"), F.col("tx_id")))
+            start = sink.log(spark).agg(F.max("batch")).first()[0] + 1
+        J.run_available(sdf, f"{ck}/{copy}", lambda batch, n, start=start: sink.write(batch, start + n))
     return sink.read(spark, LEDGER_SCHEMA).select(*DUP_COLS)
 
 

@@ -7,10 +7,11 @@ with a Bloom filter over its keys::
     index/batch=<n>/tx_month=<yyyy-MM>/part-*.parquet       path, bucket, n, bits
     log/batch=<n>/                                           files stored, looked at, opened
 
-A micro-batch drops its own copies (map-side combine), reads the index rows of its own
-months only, tests its keys against the filters of its own buckets and opens just the
-files whose filter lets one of its keys through; the exact, null-safe comparison (D4)
-then runs against those files.  A key opens a file that does not hold it with probability
+A micro-batch reads the index rows of its own months only, tests its keys against the filters
+of its own buckets and opens just the files whose filter lets one of its keys through.  Then
+its rows, copies folded first in the tasks that read them, and the stored rows of those files are dealt
+once by month and bucket; in there the exact comparison (D4) drops repeats of stored rows and of
+each other and the rest is written.  A key opens a file that does not hold it with probability
 below ``FALSE_HITS``, so what a batch opens follows the batch and its repeats, not the
 history (index rows of its months are still looked at).
 
@@ -19,21 +20,22 @@ batches below ``n``: a batch replayed after a failure gives the same output.
 
 Defined cases: a row that holds null in the user, type, amount, date or category equals no
 other row across batches (SQL equality) but repeats within a batch fold into one, as in ``drop_known``; the
-note is compared null-safely; rows without a date go to their own month folder; an empty
+note is compared null-safely; a micro-batch is read twice, for its keys and for its rows; rows without a date go to their own month folder; an empty
 batch writes empty folders.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.columns import month_label
-from tallyspark.operators.relate import DUP_COLS, drop_known
+from tallyspark.operators.relate import DUP_COLS
 
 BUCKETS = 64
 FALSE_HITS = 1e-6           # of a filter for a key that its file does not hold (a batch asks with thousands of keys)
@@ -84,6 +86,26 @@ def _probe(keys: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"path": found}, dtype=object)
 
 
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Copies inside an Arrow batch are folded, so that a group that holds a large share of the rows sends a few."""
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        first = t.select(DUP_COLS).append_column("at", pa.array(np.arange(b.num_rows))).group_by(DUP_COLS).aggregate([("at", "min")])["at_min"]
+        yield from (t if len(first) == b.num_rows else t.take(first)).combine_chunks().to_batches()
+
+
+def _new_rows(rows: DataFrame, seen: DataFrame | None, buckets: int) -> DataFrame:
+    """D4 after one shuffle by month and bucket: ``rows`` that repeat neither each other nor a row of ``seen``."""
+    rest = [c for c in rows.columns if c not in DUP_COLS]
+    both = rows.select(*DUP_COLS, F.struct(*rest).alias("rest") if rest else F.lit(True).alias("rest"))
+    if seen is not None:        # a row with null in another column than the note equals no stored row
+        known = seen.select(*DUP_COLS).dropna(subset=[c for c in DUP_COLS if c != "note"])
+        both = both.unionByName(known.select("*", F.lit(None).cast(both.schema["rest"].dataType).alias("rest")))
+    dealt = _keyed(both.withColumn("stored", F.col("rest").isNull()), buckets).drop("key").repartition("tx_month", "bucket")
+    one = dealt.groupBy(*DUP_COLS, "tx_month", "bucket").agg(F.max("stored").alias("stored"), F.first("rest", ignorenulls=True).alias("rest"))
+    return one.filter(~F.col("stored")).select(*[F.col(f"rest.{c}") if c in rest else F.col(c) for c in rows.columns], "tx_month", "bucket")
+
+
 class DedupeIndex:
     """Sink that stores only rows not stored before, with an index of what it holds, below ``path``."""
 
@@ -94,41 +116,38 @@ class DedupeIndex:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
-    def _batches(self, spark: SparkSession, batch_id: int, months: Sequence[str]) -> DataFrame | None:
-        """Index rows of earlier batches in these months."""
+    def _batches(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
+        """Index rows of earlier batches."""
         if batch_id == 0 or not self._exists(spark, f"{self.path}/index"):
             return None
         df = spark.read.schema(f"{INDEX}, batch long, tx_month string").parquet(f"{self.path}/index")
-        return df.filter((F.col("batch") < batch_id) & F.col("tx_month").isin(list(months)))
+        return df.filter(F.col("batch") < batch_id)
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
         """``foreachBatch`` writer."""
         spark = batch.sparkSession
         columns = [c for c in batch.columns]
-        fresh = _keyed(batch.dropDuplicates(list(DUP_COLS)), self.buckets).persist()
-        try:
-            months = [r[0] for r in fresh.select("tx_month").distinct().collect()]      # of one micro-batch
-            index = self._batches(spark, batch_id, months) if months else None
-            looked, opened = 0, []
-            if index is not None:
-                looked = index.count()
-                probe = fresh.select("tx_month", "bucket", "key").groupBy("tx_month", "bucket") \
-                    .cogroup(index.select("tx_month", "bucket", "path", "bits").groupBy("tx_month", "bucket")) \
-                    .applyInPandas(lambda k, i: _probe(k, i), "path string")
-                opened = sorted({r["path"] for r in probe.collect()})
-            rows = fresh.select(*columns, "tx_month", "bucket", "key")
-            if opened:
-                seen = spark.read.schema(batch.schema).option("basePath", f"{self.path}/rows") \
-                    .parquet(*[f"{self.path}/rows/{p}" for p in opened])
-                rows = drop_known(rows, seen)
-            # rows of a bucket go to one file per batch, larger ones to several
-            rows.repartition("tx_month", "bucket").drop("key").write.mode("overwrite") \
-                .option("maxRecordsPerFile", FILE_ROWS).partitionBy("tx_month", "bucket").parquet(f"{self.path}/rows/batch={batch_id}")
-            self._index(spark, batch_id, batch)
-            spark.createDataFrame([(batch_id, looked, len(opened))], "batch long, looked long, opened long") \
-                .coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log/batch={batch_id}")
-        finally:
-            fresh.unpersist()
+        keys = _keyed(batch, self.buckets).select("tx_month", "bucket", "key")
+        index = self._batches(spark, batch_id)
+        looked, opened = 0, []
+        if index is not None:
+            months = [r[0] for r in keys.select("tx_month").distinct().collect()]       # of one micro-batch
+            index = index.filter(F.col("tx_month").isin(months))
+            looked = index.count()
+            probe = keys.groupBy("tx_month", "bucket").cogroup(index.select("tx_month", "bucket", "path", "bits").groupBy("tx_month", "bucket")) \
+                .applyInPandas(lambda k, i: _probe(k, i), "path string")
+            opened = sorted({r["path"] for r in probe.collect()})
+        seen = None
+        if opened:
+            seen = spark.read.schema(batch.schema).option("basePath", f"{self.path}/rows") \
+                .parquet(*[f"{self.path}/rows/{p}" for p in opened])
+        # rows of a bucket go to one file per batch, larger ones to several
+        _new_rows(batch.mapInArrow(_fold, batch.schema).select(*columns), seen, self.buckets).write.mode("overwrite") \
+            .option("maxRecordsPerFile", FILE_ROWS).option("compression", "zstd") \
+            .partitionBy("tx_month", "bucket").parquet(f"{self.path}/rows/batch={batch_id}")
+        self._index(spark, batch_id, batch)
+        spark.createDataFrame([(batch_id, looked, len(opened))], "batch long, looked long, opened long") \
+            .coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log/batch={batch_id}")
 
     def _index(self, spark: SparkSession, batch_id: int, batch: DataFrame) -> None:
         """One index row per file that the batch has written."""
