@@ -135,7 +135,7 @@ def store_ledger(df: DataFrame, path: str) -> None:
     (df.withColumn("tx_month", month_label("tx_date"))
        .hint("rebalance", "tx_month")
        .sortWithinPartitions("tx_month", "user_id", "tx_date")
-       .write.mode("overwrite").partitionBy("tx_month").parquet(path))
+       .write.mode("overwrite").option("compression", "zstd").partitionBy("tx_month").parquet(path))
 
 
 def read_ledger_parquet(spark: SparkSession, path: str) -> DataFrame:
